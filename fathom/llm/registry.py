@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import chat, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pack_documents": packing.op1_pack_documents,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op6_format_chats": chat.op6_format_chats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.OP3_SQL,
+        "op6_format_chats": chat.OP6_SQL,
     }
