@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, mixing, packing
+from . import chat, fingerprint, language, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_pack_documents": packing.op1_pack_documents,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op6_format_chats": chat.op6_format_chats,
+        "op4_fingerprint_documents": fingerprint.op4_fingerprint_documents,
         "op10_identify_languages": language.op10_identify_languages,
     }
 
