@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, language, mixing, packing
+from . import chat, fingerprint, html, language, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_pack_documents": packing.op1_pack_documents,
+        "op2_extract_text": html.op2_extract_text,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op6_format_chats": chat.op6_format_chats,
         "op4_fingerprint_documents": fingerprint.op4_fingerprint_documents,
