@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, html, language, mixing, packing
+from . import chat, fingerprint, html, language, media, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op6_format_chats": chat.op6_format_chats,
         "op4_fingerprint_documents": fingerprint.op4_fingerprint_documents,
+        "op7_store_media": media.op7_store_media,
         "op10_identify_languages": language.op10_identify_languages,
     }
 
