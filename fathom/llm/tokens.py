@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,21 @@ import pyarrow.compute as pc
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
+#: Marks that the tokenizer parts from a word before them; no apostrophe and no part of a special token.
+MARKS = ".,;:!?*#$%&()[]{}\"/"
+
+
+def _split(chunk: str) -> tuple[str, str]:
+    """Parts with the same ids as the chunk: below U+0130, lower case is letter by letter and nothing composes."""
+    if not chunk or not (chunk.isascii() or max(chunk) < "\u0130"):
+        return chunk, ""
+    low = chunk.lower()
+    stem = low.rstrip(MARKS)
+    if stem.isalpha():
+        return stem, low[len(stem) :]
+    return (chunk if "<" in chunk else low), ""
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -21,8 +37,10 @@ class ChunkEncoder:
     """Encodes texts with the tokenizer in the file ``path``, which must drop spaces and line feeds.
 
     No token of such a tokenizer reaches over a space, so the ids of a text are
-    those of its chunks between spaces, one after the other. Each distinct chunk
-    is encoded once; the cache is emptied when it has ``max_entries``.
+    those of its chunks between spaces, one after the other. A word with marks
+    behind it is taken apart, as the tokenizer does, and plain letters are put in
+    lower case, so that fewer distinct parts are left. Each is encoded once; the
+    cache is emptied when it would have more than ``max_entries``.
     """
 
     def __init__(self, path: str, max_entries: int = 1_000_000):
@@ -35,11 +53,23 @@ class ChunkEncoder:
         self.cache: dict[str, bytes] = {}
         self.max_entries = max_entries
 
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 4096):
-            group = chunks[i : i + 4096]
-            for chunk, found in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+    def _learn(self, parts: list[str]) -> None:
+        if len(self.cache) + len(parts) > self.max_entries:
+            self.cache.clear()
+        for i in range(0, len(parts), 4096):
+            group = parts[i : i + 4096]
+            for part, found in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                self.cache[part] = array("I", found.ids).tobytes()
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [_split(c) for c in chunks]
+        wanted = {p for pair in split for p in pair}
+        if missing := [p for p in wanted if p not in self.cache]:
+            self._learn(missing)
+            if len(missing) < len(wanted) and (missing := [p for p in wanted if p not in self.cache]):  # the cache was emptied
+                self._learn(missing)
+        cache = self.cache
+        return [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in split]
 
     def encode(self, texts: pa.Array, eos: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by eos, and where each text's begin (one more than texts)."""
@@ -48,10 +78,7 @@ class ChunkEncoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten().dictionary_encode()
         index, chunks = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-        if len(self.cache) + len(chunks) > self.max_entries:
-            self.cache.clear()
-        self._learn([c for c in chunks if c not in self.cache])
-        parts = [self.cache[c] for c in chunks]
+        parts = self._chunks(chunks)
         table = np.frombuffer(b"".join(parts), dtype="<u4")
         lengths = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
         begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
