@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, html, language, media, mixing, packing
+from . import chat, fingerprint, html, language, media, mixing, packing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op6_format_chats": chat.op6_format_chats,
         "op4_fingerprint_documents": fingerprint.op4_fingerprint_documents,
         "op7_store_media": media.op7_store_media,
+        "op8_judge_urls": urls.op8_judge_urls,
         "op10_identify_languages": language.op10_identify_languages,
     }
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.OP3_SQL,
         "op6_format_chats": chat.OP6_SQL,
+        "op8_judge_urls": urls.OP8_SQL,
     }
