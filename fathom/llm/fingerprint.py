@@ -35,7 +35,7 @@ INVERSE = pow(RATIO, -1, 1 << 64)
 _powers = np.ones((2, 1), dtype=np.uint64)
 
 
-def _power(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     """Powers of RATIO and of INVERSE modulo 2**64, n of each at least."""
     global _powers
     while _powers.shape[1] < n:
@@ -81,7 +81,7 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, dtype=np.uint8)
     ends = np.array(boundaries(raw), dtype=np.int64)
     starts = np.concatenate(([0], ends[:-1]))
-    up, down = _power(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(VALUE[raw] * up[: len(raw)], dtype=np.uint64)))
     d = (sums[ends] - sums[starts]) * down[starts]
     d = (d ^ (d >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, html, language, media, mixing, packing, urls
+from . import chat, fingerprint, html, language, media, minhash, mixing, packing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_fingerprint_documents": fingerprint.op4_fingerprint_documents,
         "op7_store_media": media.op7_store_media,
         "op8_judge_urls": urls.op8_judge_urls,
+        "op9_near_duplicates": minhash.op9_near_duplicates,
         "op10_identify_languages": language.op10_identify_languages,
     }
 
