@@ -161,18 +161,18 @@ def train(docs: DataFrame, most_rows: int = 1000, most_languages: int = 256) ->
 SCHEMA = "lang_pred string, score double, ambiguous boolean"
 
 
-def predict(docs: DataFrame, model: Model, keep: str) -> DataFrame:
-    """docs: ``keep`` and text. Adds lang_pred, score and ambiguous. The model's size doesn't depend on the data."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs: text and any other columns. Adds lang_pred, score and ambiguous. The model's size doesn't depend on the data."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(t.as_py()) for t in batch.column("text")]
             columns = [pa.array([f[i] for f in found], type=kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(keep), *columns], names=[keep, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, {SCHEMA}")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kept}, {SCHEMA}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -183,5 +183,5 @@ def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    found = predict(docs, model, "doc_id")
+    found = predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
