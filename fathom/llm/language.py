@@ -136,11 +136,15 @@ def train(docs: DataFrame, most_rows: int = 1000, most_languages: int = 256) ->
     of each language only its n-gram sums reach the driver, each once.
     """
     labelled = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang")
-    often = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    often = [tuple(r) for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
     if not often:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.ones(1), np.ones(1))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = labelled.where(F.col("lang").isin(often)).withColumn("rank", rank).where(F.col("rank") <= most_rows)
+    # About twice as many as are wanted, by a bound on the hash, before any language's rows meet in a task.
+    sieve = F.create_map(*[F.lit(x) for lang, n in often for x in (lang, min(1.0, (2.0 * most_rows + 100) / n))])
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("share"), "doc_id"))
+    sample = labelled.withColumn("share", share).where(F.col("share") < F.element_at(sieve, F.col("lang")))
+    sample = sample.withColumn("rank", rank).where(F.col("rank") <= most_rows)
     picked = sample.groupBy(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).count().drop("count")
     rows = docs.join(F.broadcast(picked), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang"))).select("text", "lang")
     languages, sums = _sums(rows)
