@@ -70,16 +70,10 @@ def test_filters_by_bits():
     others = np.setdiff1d(np.arange(1, 5000, dtype=np.uint32), values)
     assert bloom.contains(words, others, 3).mean() < 0.1
 
-    def plain(a, seed):
-        m = 0xFFFFFFFF
-        a = (a + seed + (a << 12)) & m
-        a = a ^ 0xC761C23C ^ (a >> 19)
-        a = (a + 0x165667B1 + (a << 5)) & m
-        a = ((a + 0xD3A2646C) & m) ^ (a << 9 & m)
-        a = (a + 0xFD7046C5 + (a << 3)) & m
-        return a ^ 0xB55A4F09 ^ (a >> 16)
-
-    assert bloom.chain(np.array([12345], dtype=np.uint32), bloom.SEED)[0] == plain(12345, bloom.SEED)
+    # Worked out with numbers of any length.
+    values = np.array([1, 12345, 2147483655], dtype=np.uint32)
+    first = bloom.chain(values, bloom.SEED)
+    assert first.tolist() == [3028713910, 3058842707, 3973863538] and bloom.chain(values, first).tolist() == [4068118580, 232753912, 1000990626]
 
 
 def test_command_line(spark, tmp_path, capsys):
