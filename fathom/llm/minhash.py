@@ -239,9 +239,11 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     found = components(first.unionByName(second))
     named = full.select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
-    # Ids that rows with different texts share link those rows' classes.
-    shared = named.where(F.col("doc_id") != F.col("node")).groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = shared.where(F.col("low") < F.col("high")).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    # Ids that rows with different texts share link those rows' classes: the class that the id names, and others.
+    others = named.where(F.col("doc_id") != F.col("node"))
+    shared = others.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b")).select("a", "b")
+    named_by = others.select("doc_id", F.col("node").alias("a")).join(classes.select(F.col("node").alias("b")), F.col("doc_id") == F.col("b")).select("a", "b")
+    shared = materialise(shared.unionByName(named_by), "shared")
     if not shared.isEmpty():
         found = components(first.unionByName(second).unionByName(shared))
     by_node = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
