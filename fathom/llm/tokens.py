@@ -81,14 +81,18 @@ class ChunkEncoder:
         parts = self._chunks(chunks)
         table = np.frombuffer(b"".join(parts), dtype="<u4")
         lengths = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
-        begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        kind = np.int32 if lengths[index].sum() + n < 1 << 31 and lengths.sum() < 1 << 31 else np.int64  # half the memory
+        begins = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(kind)
         sizes = lengths[index]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         bounds = ends[offsets - offsets[0]] if n else np.zeros(1, dtype=np.int64)
         total = int(ends[-1])
-        take = np.repeat(begins[index] - ends[:-1], sizes) + np.arange(total)
+        take = np.repeat(begins[index] - ends[:-1].astype(kind), sizes)
+        take += np.arange(total, dtype=kind)
         out = np.empty(total + n, dtype="<u4")
-        out[np.arange(total) + np.repeat(np.arange(n), np.diff(bounds))] = table[take]
+        place = np.repeat(np.arange(n, dtype=kind), np.diff(bounds))
+        place += np.arange(total, dtype=kind)
+        out[place] = table[take]
         starts = bounds + np.arange(n + 1)
         out[starts[1:] - 1] = eos
         return out, starts
@@ -101,7 +105,7 @@ def encoder(path: str, max_entries: int = 1_000_000) -> ChunkEncoder:
     return _encoders[path, max_entries]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that the texts of a slice have about most_bytes at most."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
