@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from fathom.llm import language, minhash, mixing, packing
 from fathom.llm.storage import materialise
 
-#: Fewer letters than these are never rejected as ambiguous: short texts often are.
-AMBIGUOUS_CHARS = 200
+#: A text of which no language has this much is rejected; one that mixes two languages has more for the better one.
+LEAST_SCORE = 0.35
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and longer ones of no clear language; fills in missing languages."""
+    """Rejects texts without a letter and those that look like no language more than others; fills in missing languages."""
     found = language.predict(docs, language.train(docs))
-    rejected = (F.col("lang_pred") == language.UNKNOWN) | (F.col("ambiguous") & (F.length("text") >= AMBIGUOUS_CHARS))
+    rejected = (F.col("lang_pred") == language.UNKNOWN) | (F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
     return found.where(~rejected).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,26 @@ def postings_of(index: Index, term: str) -> DataFrame:
     return found.join(index.searchable().where(F.col("term") == term).select("term"), "term", "left_semi")
 
 
+#: Most terms of a batch of queries whose names are put into the scan of the postings.
+MOST_PUSHED = 2000
+_IN = 10  # longer lists reach the files' readers as a range only
+
+
+def postings_for(index: Index, asked: DataFrame, *columns: str) -> DataFrame:
+    """The postings that may belong to the terms of asked (term).
+
+    Saved postings are in order of terms. If the batch has few terms, they are
+    named in the scan, which so reads the parts of the files with them alone; a
+    larger batch reads all postings. Either way the caller joins on the term.
+    """
+    postings = index.postings.select("term", *columns)
+    terms = sorted(r[0] for r in asked.select("term").distinct().limit(MOST_PUSHED + 1).collect())
+    if not 0 < len(terms) <= MOST_PUSHED:
+        return postings
+    parts = [F.col("term").isin(terms[k : k + _IN]) for k in range(0, len(terms), _IN)]
+    return postings.where(reduce(lambda a, b: a | b, parts))
+
+
 def vocabulary(index: Index) -> DataFrame:
     return index.searchable().select("term", "df")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scoring
-from fathom.operators.access import rarest, resolve
+from fathom.operators.access import postings_for, rarest, resolve
 from fathom.plans.index import Index
 
 HITS = 1000
@@ -35,7 +35,7 @@ def conjunction(index: Index, queries: DataFrame, hits: int | None = None) -> Da
     """qid, docid: the documents that hold all of a query's terms that can be searched for."""
     asked = resolve(index, queries).select("qid", "term").distinct()
     asked = asked.withColumn("n", F.count("*").over(Window.partitionBy("qid")))
-    found = asked.join(index.postings.select("term", "docid"), "term")
+    found = asked.join(postings_for(index, asked, "docid"), "term")
     all_of = found.groupBy("qid", "docid").agg(F.count("*").alias("seen"), F.first("n").alias("n")).where(F.col("seen") == F.col("n"))
     return _first(all_of.select("qid", "docid"), index, hits)
 
@@ -45,9 +45,9 @@ def semi_conjunction(index: Index, queries: DataFrame, hits: int | None = None)
     asked = resolve(index, queries)
     low = rarest(asked).select("qid", F.col("term").alias("rare"))
     others = asked.join(low, "qid").where(F.col("term") != F.col("rare")).select("qid", "term").distinct()
-    found = low.select("qid", F.col("rare").alias("term")).join(index.postings.select("term", "docid"), "term").select("qid", "docid")
+    found = low.select("qid", F.col("rare").alias("term")).join(postings_for(index, low.select(F.col("rare").alias("term")), "docid"), "term").select("qid", "docid")
     wanted = others.groupBy("qid").agg(F.count("*").alias("n"))
-    has = others.join(index.postings.select("term", "docid"), "term").join(found, ["qid", "docid"], "left_semi")
+    has = others.join(postings_for(index, others, "docid"), "term").join(found, ["qid", "docid"], "left_semi")
     seen = has.groupBy("qid", "docid").agg(F.count("*").alias("seen"))
     kept = found.join(wanted, "qid", "left").join(seen, ["qid", "docid"], "left").where(F.coalesce("n", F.lit(0)) == F.coalesce("seen", F.lit(0)))
     return _first(kept.select("qid", "docid"), index, hits)
@@ -63,7 +63,8 @@ def bm25_top(index: Index, queries: DataFrame, hits: int = HITS) -> DataFrame:
     """The best documents with any of the terms, by BM25; a term that a query repeats counts as often."""
     index.need("tf")
     asked = resolve(index, queries).groupBy("qid", "term").agg(F.count("*").alias("times"), F.first("idf").alias("idf"))
-    found = asked.join(index.postings.select("term", "docid", "tf", "doc_len"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    asked = asked.crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
+    found = asked.join(postings_for(index, asked, "docid", "tf", "doc_len"), "term")
     score = F.col("times") * scoring.bm25(F.col("tf"), F.col("doc_len"), F.col("avgdl"), F.col("idf"))
     return _best(found.groupBy("qid", "docid").agg(F.sum(score).alias("score")), index, hits)
 
@@ -71,7 +72,7 @@ def bm25_top(index: Index, queries: DataFrame, hits: int = HITS) -> DataFrame:
 def idf_top(index: Index, queries: DataFrame, hits: int = HITS) -> DataFrame:
     """qid, docid: the documents with the largest sums of idf, without an order."""
     asked = resolve(index, queries).groupBy("qid", "term").agg(F.sum("idf").alias("idf"))
-    found = asked.join(index.postings.select("term", "docid"), "term").groupBy("qid", "docid").agg(F.sum("idf").alias("score"))
+    found = asked.join(postings_for(index, asked, "docid"), "term").groupBy("qid", "docid").agg(F.sum("idf").alias("score"))
     return _best(found, index, hits).select("qid", "docid")
 
 
@@ -81,7 +82,7 @@ def rarest_top(index: Index, queries: DataFrame, hits: int = HITS) -> DataFrame:
     low = rarest(asked)
     # The rarest term is scored once; its repeats count with the other terms.
     bag = asked.groupBy("qid", "term").agg(F.sum("idf").alias("idf"))
-    postings = index.postings.select("term", "docid")
+    postings = postings_for(index, asked, "docid")
     rare = low.select("qid", "term").join(postings, "term").select("qid", "docid")
     found = bag.join(postings, "term").join(rare, ["qid", "docid"], "left_semi")
     return _best(found.groupBy("qid", "docid").agg(F.sum("idf").alias("score")), index, hits)

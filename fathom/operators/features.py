@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import scoring
-from fathom.operators.access import resolve
+from fathom.operators.access import postings_for, resolve
 from fathom.plans.index import Index
 
 
@@ -75,7 +75,9 @@ def gather(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs: qid, docid. One row each with doc_len, asked and the collection's statistics."""
     index.need("positions")
     asked = resolve(index, queries)
-    found = index.postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "docid", "tf", "positions")
+    found = postings_for(index, asked, "docid", "tf", "positions")
+    # Only the pairs' documents: what is left of the postings is about as large as the pairs.
+    found = found.join(asked.select("term").distinct(), "term", "left_semi").join(pairs.select("docid").distinct(), "docid", "left_semi")
     rows = pairs.select("qid", "docid").join(asked, "qid").join(found, ["term", "docid"], "left")
     item = F.struct("ord", "idf", "cf", F.coalesce("tf", F.lit(0)).alias("tf"), F.coalesce("positions", F.array().cast("array<int>")).alias("positions"))
     rows = rows.groupBy("qid", "docid").agg(F.array_sort(F.collect_list(item)).alias("asked"))

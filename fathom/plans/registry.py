@@ -193,7 +193,8 @@ def idf(spark, d):
 
 def bm25_term_scores(spark, d):
     i = corpus(spark, d)
-    found = i.postings.select("term", "docid", "tf", "doc_len").join(i.searchable().select("term", "idf"), "term").crossJoin(F.broadcast(i.stats.select("avgdl")))
+    terms = i.searchable().select("term", "idf").crossJoin(F.broadcast(i.stats.select("avgdl")))
+    found = i.postings.select("term", "docid", "tf", "doc_len").join(terms, "term")
     return found.select("term", "docid", F.round(scoring.bm25(F.col("tf"), F.col("doc_len"), F.col("avgdl"), F.col("idf")), 4).alias("score"))
 
 
