@@ -11,20 +11,14 @@ import pyarrow.compute as pc
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
-
-#: Marks that the tokenizer parts from a word before them; no apostrophe and no part of a special token.
-MARKS = ".,;:!?*#$%&()[]{}\"/"
-
-
-def _split(chunk: str) -> tuple[str, str]:
-    """Parts with the same ids as the chunk: below U+0130, lower case is letter by letter and nothing composes."""
-    if not chunk or not (chunk.isascii() or max(chunk) < "\u0130"):
-        return chunk, ""
-    low = chunk.lower()
-    stem = low.rstrip(MARKS)
-    if stem.isalpha():
-        return stem, low[len(stem) :]
-    return (chunk if "<" in chunk else low), ""
+#: Marks that the tokenizer parts from a letter before them; no apostrophe and no part of a special token.
+MARKS = b".,;:!?*#$%&()[]{}\"/"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_MARK, _LETTER, _ODD = (np.zeros(256, dtype=bool) for _ in range(3))
+_MARK[list(MARKS)] = True
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+_ODD[[ord("<"), 0xCC, 0xCD]] = True  # special tokens, and accents that compose with the letter before
 
 
 def default_path() -> str:
@@ -33,54 +27,109 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _prepared(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids and fewer distinct chunks: plain letters in lower case, and a space before marks behind a letter.
+
+    A text with an odd byte stays as it is, but for its line feeds, which become spaces in all.
+    """
+    n = len(texts)
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
+    if not n or texts.buffers()[2] is None:
+        return texts
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
+    bounds -= bounds[0]
+    data = _LOWER[raw]
+    accented = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    low = accented[(raw[accented] <= 0x9E) & (raw[accented] != 0x97)]
+    data[low] += 32
+    ends = _LETTER[data]
+    ends[accented] = (data[accented] != 0x97) & (data[accented] != 0xB7)
+    cuts = np.flatnonzero(ends[:-1] & _MARK[data[1:]]) + 1
+    if len(odd := np.flatnonzero(_ODD[raw])):
+        kept = np.unique(np.searchsorted(bounds, odd, side="right") - 1)
+        for k in kept.tolist():
+            data[bounds[k] : bounds[k + 1]] = raw[bounds[k] : bounds[k + 1]]
+        cuts = cuts[~np.isin(np.searchsorted(bounds, cuts, side="right") - 1, kept)]
+    data[data == 0x0A] = 0x20
+    # A cut between two texts would do no harm; each space counts to the text that holds the mark.
+    moved = bounds + np.searchsorted(cuts, bounds, side="left")
+    return pa.StringArray.from_buffers(n, pa.py_buffer(moved.astype(np.int32)), pa.py_buffer(np.insert(data, cuts, 0x20)))
+
+
 class ChunkEncoder:
-    """Encodes texts with the tokenizer in the file ``path``, which must drop spaces and line feeds.
+    """Encodes texts with the tokenizer in the file ``path``, which must drop spaces and line feeds and mark word ends.
 
     No token of such a tokenizer reaches over a space, so the ids of a text are
-    those of its chunks between spaces, one after the other. A word with marks
-    behind it is taken apart, as the tokenizer does, and plain letters are put in
-    lower case, so that fewer distinct parts are left. Each is encoded once; the
-    cache is emptied when it would have more than ``max_entries``.
+    those of its chunks between spaces, one after the other. Each chunk is encoded
+    once and kept; of ``max_entries`` chunks the half that was used last stays.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_000_000):
+    def __init__(self, path: str, max_entries: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.max_entries = max_entries
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.cache) + len(parts) > self.max_entries:
-            self.cache.clear()
-        for i in range(0, len(parts), 4096):
-            group = parts[i : i + 4096]
-            for part, found in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.cache[part] = array("I", found.ids).tobytes()
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [_split(c) for c in chunks]
-        wanted = {p for pair in split for p in pair}
-        if missing := [p for p in wanted if p not in self.cache]:
-            self._learn(missing)
-            if len(missing) < len(wanted) and (missing := [p for p in wanted if p not in self.cache]):  # the cache was emptied
-                self._learn(missing)
-        cache = self.cache
-        return [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in split]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Words of plain letters are encoded many at a time: each ends where a token closes a word."""
+        found: dict[str, bytes] = {}
+        words = [c for c in chunks if c.isalpha() and (c.isascii() or max(c) < "İ")]
+        for i in range(0, len(words), 4096):
+            group = words[i : i + 4096]
+            lines = self._encode([" ".join(group[k : k + 64]) for k in range(0, len(group), 64)])
+            ids = np.fromiter((x for line in lines for x in line), dtype="<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(group):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(group, ends, strict=True):
+                    found[word] = data[4 * at : 4 * end]
+                    at = end
+        rest = [c for c in chunks if c not in found]
+        for i in range(0, len(rest), 4096):
+            group = rest[i : i + 4096]
+            found.update(zip(group, (array("I", ids).tobytes() for ids in self._encode(group)), strict=True))
+        return [found[c] for c in chunks]
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """chunks: distinct."""
+        if len(self.young) > self.max_entries // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = [young.get(c) for c in chunks]
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        unknown = []
+        for k in missing:
+            if (ids := old.get(chunks[k])) is None:
+                unknown.append(k)
+            else:
+                out[k] = ids
+        for k, ids in zip(unknown, self._learn([chunks[k] for k in unknown]), strict=True):
+            out[k] = ids
+        young.update((chunks[k], out[k]) for k in missing)
+        return out
 
     def encode(self, texts: pa.Array, eos: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by eos, and where each text's begin (one more than texts)."""
         n = len(texts)
-        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        lists = pc.split_pattern(_prepared(pc.fill_null(texts, "")), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten().dictionary_encode()
-        index, chunks = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-        parts = self._chunks(chunks)
+        index = flat.indices.to_numpy()
+        parts = self._ids(flat.dictionary.to_pylist())
         table = np.frombuffer(b"".join(parts), dtype="<u4")
-        lengths = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         kind = np.int32 if lengths[index].sum() + n < 1 << 31 and lengths.sum() < 1 << 31 else np.int64  # half the memory
         begins = np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(kind)
         sizes = lengths[index]
@@ -98,14 +147,14 @@ class ChunkEncoder:
         return out, starts
 
 
-def encoder(path: str, max_entries: int = 1_000_000) -> ChunkEncoder:
+def encoder(path: str, max_entries: int = 600_000) -> ChunkEncoder:
     """One for each file and process: workers keep it from task to task."""
     if (path, max_entries) not in _encoders:
         _encoders[path, max_entries] = ChunkEncoder(path, max_entries)
     return _encoders[path, max_entries]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that the texts of a slice have about most_bytes at most."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
