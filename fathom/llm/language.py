@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
 DIMENSIONS = 1 << 15
@@ -124,7 +126,7 @@ def _sums(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                 sums[lang] = sums.get(lang, 0) + features(code_points(text or "")).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.string()), pa.array([s.tobytes() for s in sums.values()], type=pa.binary())], names=["lang", "sums"])
 
-    total = {lang: np.frombuffer(bytes(data), dtype=np.float64) for lang, data in rows.repartition(32, "lang").mapInArrow(run, "lang string, sums binary").toLocalIterator()}
+    total = {lang: np.frombuffer(bytes(data), dtype=np.float64) for lang, data in rows.repartition(32, "lang").mapInArrow(tidy(run), "lang string, sums binary").toLocalIterator()}
     names = sorted(total)
     return names, np.array([total[x] for x in names]).reshape(len(names), DIMENSIONS)
 
@@ -176,7 +178,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, {SCHEMA}")
+    return docs.mapInArrow(tidy(run), f"{kept}, {SCHEMA}")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .fingerprint import VALUE, powers
 from .graph import components
+from .memory import tidy
 from .storage import materialise
 
 UNIVERSE = 1 << 20
@@ -114,7 +115,7 @@ def _sign(docs: DataFrame, width: int) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -126,7 +127,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             columns = [batch.column("node"), batch.column("hub"), pa.array([len(s) for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "hub", "n", "shingles"])
 
-    return docs.mapInArrow(run, "node long, hub long, n long, shingles binary")
+    return docs.mapInArrow(tidy(run), "node long, hub long, n long, shingles binary")
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def _verify(pairs: DataFrame) -> DataFrame:
                 keep.append(bool(similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidy(run), "a long, b long")
 
 
 def links_in_block(nodes: np.ndarray, labels: np.ndarray, rest: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
+from .memory import tidy
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window int, step_id long, ids binary"
 ARROW = pa.schema([
@@ -158,7 +159,7 @@ def pack(
                         yield from packer.flush(False)
         yield from packer.flush(True)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
