@@ -1,109 +1,100 @@
-"""Block-wise Bloom filters over postings, and what they find.
+"""Block-wise Bloom filters over postings, and what they find, in column expressions.
 
 Postings of a term are cut into blocks of 128 documents. A block's filter has
-``bits`` bits for each document and ``hashes`` chained 32-bit hash values. A
+``bits`` bits for each document, in words of 32; a document sets one bit for each
+of ``hashes`` functions of the family ``(a * docid + b) mod p``, p = 2**31 - 1. A
 document is looked for in the first block whose last document isn't before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.operators.access import rarest, resolve
+from fathom.operators.access import postings_for, rarest, resolve
 from fathom.plans.index import Index
 
 BLOCK = 128
-SEED = 0x7ED55D16
+PRIME, ROOT = (1 << 31) - 1, 48271
+RANGE = 65536  # documents
 
 
-def chain(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
-    """The next value of the chain, with 32-bit wrap-around: a public integer hash by shifts and sums."""
-    a = value.astype(np.uint32)
-    for left, constant, op in ((12, seed, "sum"), (-19, 0xC761C23C, "xor"), (5, 0x165667B1, "sum"), (9, 0xD3A2646C, "mix"), (3, 0xFD7046C5, "sum"), (-16, 0xB55A4F09, "xor")):
-        shifted = a << np.uint32(left) if left > 0 else a >> np.uint32(-left)
-        c = np.asarray(constant, dtype=np.uint32)
-        a = a + c + shifted if op == "sum" else (a ^ c) ^ shifted if op == "xor" else (a + c) ^ shifted
-    return a
+def factors(hashes: int) -> list[tuple[int, int]]:
+    """a and b of each function: powers of a primitive root, so no two are alike."""
+    return [(pow(ROOT, 2 * k + 1, PRIME), pow(ROOT, 2 * k + 2, PRIME)) for k in range(hashes)]
 
 
-def bits_of(values: np.ndarray, words: int, hashes: int) -> np.ndarray:
-    """values x hashes: the bits that a filter of so many 32-bit words sets."""
-    seed: np.ndarray | int = SEED
-    out = np.zeros((len(values), hashes), dtype=np.int64)
-    for k in range(hashes):
-        seed = chain(values, seed)
-        out[:, k] = seed % np.uint32(32 * words)
-    return out
+def bits_of(docid: Column, words: Column, hashes: int) -> list[Column]:
+    """The bits that a document sets in a filter of so many words."""
+    folded = F.pmod(docid, F.lit(PRIME))
+    return [F.pmod(F.pmod(folded * F.lit(a) + F.lit(b), F.lit(PRIME)), words * 32) for a, b in factors(hashes)]
 
 
-def build_filter(values: np.ndarray, hashes: int, bits: int) -> np.ndarray:
-    words = -(-len(values) * bits // 32)
-    out = np.zeros(words, dtype=np.uint32)
-    at = bits_of(values, words, hashes).reshape(-1)
-    np.bitwise_or.at(out, at >> 5, np.uint32(1) << (31 - (at & 31)).astype(np.uint32))
-    return out
+def words_for(n: Column, bits: int) -> Column:
+    return F.ceil(n * bits / 32).cast("long")
 
 
-def contains(filter_words: np.ndarray, values: np.ndarray, hashes: int) -> np.ndarray:
-    at = bits_of(values, len(filter_words), hashes)
-    return ((filter_words[at >> 5] >> (31 - (at & 31)).astype(np.uint32)) & 1).all(axis=1)
-
-
-def blocks(index: Index, hashes: int = 3, bits: int = 8) -> DataFrame:
-    """term, block, last (of the block, in the order of the index), n, filter.
-
-    Postings are numbered in two steps, by ranges of documents and within them,
-    so that a frequent term isn't one task's.
-    """
-    order = -1 if index.reverse else 1
-    p = index.postings.join(index.searchable().select("term"), "term", "left_semi").select("term", "docid")
-    p = p.withColumn("at", order * F.col("docid")).withColumn("range", F.floor(F.col("at") / 65536))
+def _numbered(index: Index, terms: DataFrame | None) -> DataFrame:
+    """term, docid, at, block. Postings are numbered in two steps, by ranges of documents and within them, so that a frequent term isn't one task's."""
+    p = index.postings.select("term", "docid") if terms is None else postings_for(index, terms, "docid").join(terms, "term", "left_semi")
+    p = p.join(index.searchable().select("term"), "term", "left_semi")
+    p = p.withColumn("at", (-1 if index.reverse else 1) * F.col("docid")).withColumn("range", F.floor(F.col("at") / RANGE))
     sizes = p.groupBy("term", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("term").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("term", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("term", "range").orderBy("at")
-    p = p.join(starts, ["term", "range"]).withColumn("block", F.floor((F.col("start") + F.row_number().over(within) - 1) / BLOCK))
-    b = p.groupBy("term", "block").agg(F.max("at").alias("last_at"), F.count("*").alias("n"), F.sort_array(F.collect_list("docid")).alias("docids"))
+    return p.join(starts, ["term", "range"]).select("term", "docid", "at", F.floor((F.col("start") + F.row_number().over(within) - 1) / BLOCK).alias("block"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [build_filter(np.array(d, dtype=np.uint32), hashes, bits).astype(np.int64).tolist() for d in batch.column("docids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("term", "block", "last_at", "n")), pa.array(made, type=pa.list_(pa.int64()))], names=["term", "block", "last_at", "n", "filter"])
 
-    return b.mapInArrow(run, "term string, block long, last_at long, n long, filter array<long>").select(
-        "term", "block", (order * F.col("last_at")).alias("last"), "n", "filter"
-    )
+def blocks(index: Index, hashes: int = 3, bits: int = 8, terms: DataFrame | None = None) -> DataFrame:
+    """term, block, last (of the block, in the order of the index), n, filter (its words); of the terms in terms (term), or of all."""
+    whole = Window.partitionBy("term", "block")
+    p = _numbered(index, terms).withColumn("n", F.count("*").over(whole)).withColumn("last_at", F.max("at").over(whole))
+    p = p.withColumn("words", words_for(F.col("n"), bits))
+    p = p.select("term", "block", "n", "last_at", "words", F.explode(F.array(*bits_of(F.col("docid"), F.col("words"), hashes))).alias("bit"))
+    p = p.withColumn("word", F.floor(F.col("bit") / 32)).withColumn("bit", F.expr("shiftleft(1L, cast(bit % 32 as int))"))
+    p = p.groupBy("term", "block", "word").agg(*[F.first(c).alias(c) for c in ("n", "last_at", "words")], F.bit_or("bit").alias("set"))
+    b = p.groupBy("term", "block").agg(*[F.first(c).alias(c) for c in ("n", "last_at", "words")], F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("set"))
+    words = F.transform(F.sequence(F.lit(0).cast("long"), F.col("words") - 1), lambda w: F.coalesce(F.element_at("set", w), F.lit(0).cast("long")))
+    return b.select("term", "block", ((-1 if index.reverse else 1) * F.col("last_at")).alias("last"), "n", words.alias("filter"))
 
 
-def membership(index: Index, filters: DataFrame, pairs: DataFrame, hashes: int = 3) -> DataFrame:
-    """pairs: term, docid and any others. Adds ``inside``: whether the filters say that the term has the document.
+def contains(words: Column, docid: Column, hashes: int) -> Column:
+    """Whether a filter says that it has the document."""
+    bits = bits_of(docid, F.size(words).cast("long"), hashes)
+    tests = [F.getbit(F.element_at(words, (F.floor(b / 32) + 1).cast("int")), (b % 32).cast("int")) == 1 for b in bits]
+    return reduce(lambda x, y: x & y, tests)
+
+
+def _placed(asked: DataFrame, lasts: DataFrame) -> DataFrame:
+    """asked: term, at; lasts: term, at, block. Adds to asked the first block that ends there or later, null if none does.
 
-    The block that a document belongs to is found by a window over the term's
-    blocks and the asked documents in order, cut into ranges of documents.
+    Ends and questions meet in ranges of documents; a range's questions after its
+    last end get the first end of a later range, found by a row for each range.
     """
-    order = -1 if index.reverse else 1
-    asked = pairs.select("term", "docid").distinct().select("term", (order * F.col("docid")).alias("at"))
-    lasts = filters.select("term", "block", (order * F.col("last")).alias("at"))
+    with_range = lambda df: df.withColumn("range", F.floor(F.col("at") / RANGE))
+    asked, lasts = with_range(asked), with_range(lasts)
+    ranges = lasts.groupBy("term", "range").agg(F.min(F.struct("at", "block")).alias("first"))
+    ranges = ranges.unionByName(asked.select("term", "range").distinct(), allowMissingColumns=True).groupBy("term", "range").agg(F.max("first").alias("first"))
+    later = Window.partitionBy("term").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    after = ranges.select("term", "range", F.first("first", ignorenulls=True).over(later).alias("next")).where(F.col("next").isNotNull())
+    ends = lasts.select("term", "range", "at", "block").unionByName(after.select("term", "range", "next.at", "next.block"))
+    both = ends.unionByName(asked.select("term", "range", "at", F.lit(None).cast("long").alias("block")))
     # Of one document, the block's end comes after the question, so that it is found.
-    both = lasts.select("term", "at", "block").unionByName(asked.withColumn("block", F.lit(None).cast("long")))
-    ahead = Window.partitionBy("term").orderBy("at", F.col("block").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = both.withColumn("into", F.first("block", ignorenulls=True).over(ahead)).where(F.col("block").isNull()).select("term", "at", "into")
-    found = placed.join(filters.withColumnRenamed("block", "into"), ["term", "into"], "left")
-    found = found.select("term", (order * F.col("at")).alias("docid"), "last", "filter")
-
-    @F.pandas_udf("boolean")
-    def test(docid, words):
-        import pandas as pd
+    ahead = Window.partitionBy("term", "range").orderBy("at", F.col("block").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return both.withColumn("into", F.first("block", ignorenulls=True).over(ahead)).where(F.col("block").isNull()).select("term", "at", "into")
 
-        out = [bool(contains(np.asarray(w, dtype=np.uint32), np.array([d], dtype=np.uint32), hashes)[0]) if w is not None else False for d, w in zip(docid, words, strict=True)]
-        return pd.Series(out)
 
-    inside = F.when(F.col("last") == F.col("docid"), F.lit(True)).otherwise(test("docid", "filter"))
+def membership(index: Index, filters: DataFrame, pairs: DataFrame, hashes: int = 3) -> DataFrame:
+    """pairs: term, docid and any others. Adds ``inside``: whether the filters say that the term has the document."""
+    order = -1 if index.reverse else 1
+    asked = pairs.select("term", "docid").distinct().select("term", (order * F.col("docid")).alias("at"))
+    lasts = filters.select("term", (order * F.col("last")).alias("at"), "block")
+    found = _placed(asked, lasts).join(filters.withColumnRenamed("block", "into"), ["term", "into"], "left")
+    found = found.select("term", (order * F.col("at")).alias("docid"), "last", "filter")
+    inside = F.when(F.col("filter").isNull(), F.lit(False)).when(F.col("last") == F.col("docid"), F.lit(True)).otherwise(contains(F.col("filter"), F.col("docid"), hashes))
     return pairs.join(found.select("term", "docid", inside.alias("inside")), ["term", "docid"])
 
 
@@ -112,8 +103,8 @@ def bloom_conjunction(index: Index, queries: DataFrame, hashes: int = 3, bits: i
     asked = resolve(index, queries)
     low = rarest(asked).select("qid", "term")
     others = asked.select("qid", "term").distinct().join(low, ["qid", "term"], "left_anti")
-    found = low.join(index.postings.select("term", "docid"), "term").select("qid", "docid")
+    found = low.join(postings_for(index, low, "docid"), "term").select("qid", "docid")
     pairs = found.join(others, "qid")
-    told = membership(index, blocks(index, hashes, bits), pairs, hashes)
+    told = membership(index, blocks(index, hashes, bits, others.select("term").distinct()), pairs, hashes)
     missed = told.where(~F.col("inside")).select("qid", "docid").distinct()
     return found.join(missed, ["qid", "docid"], "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fathom.operators.bloom import PRIME, factors
+
 
 def _tokens(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}_-]+'), lambda x: regexp_full_match(x, '[a-z_0-9-]+'))"
@@ -126,7 +128,41 @@ _PAGE = r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is
 _MESSAGES = f"SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn) AS docid, {_tokens('text')} AS terms FROM conversations WHERE text IS NOT NULL"
 _top = "SELECT qid, docid FROM sv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY docid{}) <= 10"
 
+
+
+def _bit(docid: str, words: str, a: int, b: int) -> str:
+    return f"(({a} * ({docid} % {PRIME}) + {b}) % {PRIME}) % (32 * {words})"
+
+
+# Blocks of 128 postings, their filters' words, and the first block that ends at or after each document asked for in "ask".
+_BLOOM = {
+    "pb": "SELECT term, docid, (row_number() OVER (PARTITION BY term ORDER BY docid) - 1) // 128 AS block FROM tf JOIN ts USING (term) WHERE df > 9",
+    "bl": "SELECT term, block, max(docid) AS last, count(*) AS n, (count(*) * 8 + 31) // 32 AS words FROM pb GROUP BY term, block",
+    "sb": " UNION ".join(f"SELECT term, block, {_bit('docid', 'words', a, b)} AS bit FROM pb JOIN bl USING (term, block)" for a, b in factors(3)),
+    "wd": "SELECT term, block, bit // 32 AS w, CAST(sum(CAST(1 AS BIGINT) << CAST(bit % 32 AS INT)) AS BIGINT) AS v FROM sb GROUP BY ALL",
+}
+_INSIDE = {
+    "ends": "SELECT ask.term, docid, min(last) AS last FROM ask JOIN bl ON bl.term = ask.term AND bl.last >= docid GROUP BY ask.term, docid",
+    "told": "SELECT ask.term, ask.docid, coalesce(i.last = ask.docid OR ("
+    + " AND ".join(f"EXISTS (SELECT 1 FROM sb WHERE sb.term = bl.term AND sb.block = bl.block AND sb.bit = {_bit('ask.docid', 'bl.words', a, b)})" for a, b in factors(3))
+    + "), false) AS inside FROM ask LEFT JOIN ends AS i ON i.term = ask.term AND i.docid = ask.docid LEFT JOIN bl ON bl.term = i.term AND bl.last = i.last",
+}
+_PAIRS = "SELECT rare.qid, q.term, tf.docid FROM rare JOIN tf ON tf.term = rare.term JOIN (SELECT DISTINCT qid, term FROM q) AS q ON q.qid = rare.qid AND q.term <> rare.term"
+
 SQL = {
+    "bloom_blocks": _with(
+        "SELECT term, block, last, n, filter FROM bl JOIN (SELECT term, block, string_agg(CAST(coalesce(v, 0) AS VARCHAR), ' ' ORDER BY w) AS filter"
+        " FROM (SELECT term, block, unnest(range(words)) AS w FROM bl) LEFT JOIN wd USING (term, block, w) GROUP BY term, block) USING (term, block)",
+        "tf", "ts", more=_BLOOM,
+    ),
+    "bloom_membership": _with(
+        "SELECT term, docid, inside FROM told", "tf", "ts", "dl", more=_BLOOM | {"ask": "SELECT t.term, docid FROM dl, (VALUES ('the'), ('with')) t(term)"} | _INSIDE
+    ),
+    "bwand_and_bloom": _with(
+        "SELECT rare.qid, docid FROM rare JOIN tf USING (term) WHERE NOT EXISTS (SELECT 1 FROM pair JOIN told USING (term, docid)"
+        " WHERE pair.qid = rare.qid AND pair.docid = tf.docid AND NOT inside)",
+        "rare", "q", "tf", "ts", more=_BLOOM | {"pair": _PAIRS, "ask": "SELECT DISTINCT term, docid FROM pair"} | _INSIDE,
+    ),
     "dictionary": _with("SELECT row_number() OVER (ORDER BY seen) - 1 AS termid, term FROM (SELECT term, min((docid, pos)) AS seen FROM tok GROUP BY term)", "tok"),
     "doc_stats": _with("SELECT docid, doc_len FROM dl", "dl"),
     "collection_stats": _with("SELECT n_docs, total_len, round(avgdl, 4) AS avgdl, default_df, default_cf, round(default_idf, 4) AS default_idf FROM st", "st"),

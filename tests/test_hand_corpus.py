@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,7 +97,26 @@ def test_dirichlet(spark, index):
 def test_bloom_finds_at_least_what_is_there(index, spark):
     q = asked(spark, "a b", "c x a", "y z")
     exact = {tuple(r) for r in candidates.conjunction(index, q).collect()}
-    assert exact <= {tuple(r) for r in bloom.bloom_conjunction(index, q, 2, 4).collect()}
+    for reverse in (False, True):
+        assert exact <= {tuple(r) for r in bloom.bloom_conjunction(replace(index, reverse=reverse), q, 2, 4).collect()}
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_blocks_over_ranges_of_documents(spark, monkeypatch, reverse):
+    """Questions are placed by loops over all ends; documents lie in many ranges."""
+    monkeypatch.setattr(bloom, "RANGE", 100)
+    ids = {"a": [*range(1, 400), 2000, 2001, 5000], "b": [7, 3000]}
+    docs = sorted({d for v in ids.values() for d in v})
+    one = ix.build_index(spark.createDataFrame([(d, [t for t in ids if d in ids[t]]) for d in docs], "docid long, terms array<string>"), df_cutoff=0, reverse=reverse)
+    filters = bloom.blocks(one)
+    for term, found in ids.items():
+        order = sorted(found, reverse=reverse)
+        lasts = [order[min(k + 127, len(order) - 1)] for k in range(0, len(order), 128)]
+        assert [r["last"] for r in filters.where(F.col("term") == term).orderBy("block").collect()] == lasts
+    asked = [(t, d) for t in ids for d in (1, 7, 128, 129, 399, 400, 650, 2000, 2500, 3000, 5000, 6000)]
+    told = {(r.term, r.docid): r.inside for r in bloom.membership(one, filters, spark.createDataFrame(asked, "term string, docid long")).collect()}
+    assert set(told) == set(asked) and all(told[t, d] for t, d in asked if d in ids[t])
+    assert reverse or not told["a", 6000]  # nothing ends after it
 
 
 def test_cutoff_types_and_errors(spark, tmp_path):

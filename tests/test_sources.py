@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fathom import cli
 from fathom.operators import bloom
@@ -63,17 +64,19 @@ def test_archives_and_messages(spark, tmp_path):
     assert {r.docid: r.terms for r in readers.read_tweets(spark, path).collect()} == {1: ["hi", "you"], 3: ["ok"]}
 
 
-def test_filters_by_bits():
-    values = np.arange(1, 129, dtype=np.uint32) * 7
-    words = bloom.build_filter(values, 3, 8)
-    assert len(words) == 32 and bloom.contains(words, values, 3).all()
-    others = np.setdiff1d(np.arange(1, 5000, dtype=np.uint32), values)
-    assert bloom.contains(words, others, 3).mean() < 0.1
-
-    # Worked out with numbers of any length.
-    values = np.array([1, 12345, 2147483655], dtype=np.uint32)
-    first = bloom.chain(values, bloom.SEED)
-    assert first.tolist() == [3028713910, 3058842707, 3973863538] and bloom.chain(values, first).tolist() == [4068118580, 232753912, 1000990626]
+def test_filters_by_bits(spark):
+    """Against loops over plain numbers; ids beyond 32 bits are folded."""
+    values = {int(v): k for k, v in enumerate([*range(7, 7 * 129, 7), 1 << 40])}
+    prime = bloom.PRIME
+    assert bloom.factors(3)[0] == (48271, 48271**2 % prime) and len({x for f in bloom.factors(9) for x in f}) == 18
+    bits = lambda v: {((a * (v % prime) + b) % prime) % 1056 for a, b in bloom.factors(3)}
+    whole = set().union(*map(bits, values))
+    words = [sum(1 << (b % 32) for b in whole if b // 32 == w) for w in range(33)]
+    asked = [*values, *range(1, 3000)]
+    rows = spark.createDataFrame([(v, words) for v in asked], "docid long, words array<long>")
+    found = rows.select("docid", bloom.contains(F.col("words"), F.col("docid"), 3).alias("inside")).collect()
+    assert all(r.inside == (bits(r.docid) <= whole) for r in found)
+    assert all(r.inside for r in found if r.docid in values) and sum(r.inside for r in found if r.docid not in values) < 300
 
 
 def test_command_line(spark, tmp_path, capsys):
