@@ -10,11 +10,12 @@ turns. Each window repeats the conversation's first system turn and those turns
 before it that begin at most ``history`` tokens before its own first turn. Only
 assistant texts that stand in a window for the first time are under its mask.
 Prefix sums are taken in two steps, over blocks of turn numbers and within them,
-so a conversation with a third of all rows is no single task's.
+so a conversation with a third of all rows is no single task's. All this is done
+on token counts and digests; the texts are shuffled to their places afterwards.
 
 Defined results: a null text or role is empty; rows with a null conversation id
-are one conversation, null; turns are in the order of turn (null last), role,
-text; repeated rows are turns of their own; an empty table gives no windows.
+are one conversation, null; turns are in the order of turn (null last), role and
+a digest of the text; repeated rows are turns of their own; an empty table gives no windows.
 Columns that the operator doesn't use may have any name.
 """
 
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -47,6 +50,39 @@ def estimate(text: Column) -> Column:
     return F.floor((F.length(text) + 3) / 4).cast("long") + F.lit(4)
 
 
+def turn_key(turn: Column, role: Column, body: Column) -> Column:
+    return F.md5(F.concat_ws("\n", F.coalesce(turn.cast("string"), F.lit("")), escape_role(role), body).cast("binary"))
+
+
+def _places(t: DataFrame, budget: int, history: int, block: int) -> DataFrame:
+    """t: conv, turn, role, key, tokens, without any text. Returns conv, key, at, window, again: where each turn stands."""
+    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(2**62)))
+    t = t.groupBy("conv", "block", "turn", "role", "key", "tokens").agg(F.count("*").alias("n"))
+    blocks = t.groupBy("conv", "block").agg(F.sum(F.col("tokens") * F.col("n")).alias("b_tokens"), F.sum("n").alias("b_turns"))
+    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "conv", "block", F.coalesce(F.sum("b_tokens").over(earlier), F.lit(0)).alias("b_start"), F.coalesce(F.sum("b_turns").over(earlier), F.lit(0)).alias("b_first")
+    )
+    before = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "key").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(blocks, ["conv", "block"]).select(
+        "conv", "key", "role", "tokens", "n",
+        (F.col("b_first") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"),
+        (F.col("b_start") + F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(before), F.lit(0))).alias("start"),
+    )
+    t = t.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    t = t.select("conv", "key", "role", (F.col("first") + F.col("copy")).alias("at"), (F.col("start") + F.col("copy") * F.col("tokens")).alias("begins"))
+    t = materialise(t.withColumn("window", F.floor(F.col("begins") / budget).cast("long")), "turns")
+    heads = materialise(t.groupBy("conv", "window").agg(F.min("at").alias("w_at"), F.min("begins").alias("w_begins")), "heads")
+    system = t.where(F.col("role") == "system").groupBy("conv").agg(F.min(F.struct("at", "key")).alias("s"))
+    kept = system.join(heads, "conv").where(F.col("s.at") < F.col("w_at")).select("conv", "s.key", "s.at", "window", F.lit(True).alias("again"))
+    # As the history is no longer than a window, a turn can be repeated in the next window alone.
+    told = t.where(F.col("begins") + history >= (F.col("window") + 1) * budget).withColumn("into", F.col("window") + 1)
+    told = told.join(heads.withColumnRenamed("window", "into"), ["conv", "into"]).where(F.col("w_begins") - F.col("begins") <= history)
+    told = told.join(system.select("conv", F.col("s.at").alias("s_at")), "conv", "left").where(F.col("s_at").isNull() | (F.col("at") != F.col("s_at")))
+    told = told.select("conv", "key", "at", F.col("into").alias("window"), F.lit(True).alias("again"))
+    return t.select("conv", "key", "at", "window", F.lit(False).alias("again")).unionByName(kept).unionByName(told)
+
+
 def windows(turns: DataFrame, budget: int = 1024, history: int = 256, block: int = 64) -> DataFrame:
     """turns: conv_id, turn, role, text. Returns a row for each window.
 
@@ -57,35 +93,13 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, block: int
     if not 0 <= history <= budget:
         raise ValueError("history must lie between 0 and budget")
     t = turns.select(
-        "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "turn",
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    )
-    t = t.select(
-        "conv_id", "conv", "turn", "role", escape(F.col("text")).alias("body"),
-        F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(2**62)).alias("block"),
-    ).withColumn("tokens", estimate(F.col("body")))
-    blocks = t.groupBy("conv", "block").agg(F.sum("tokens").alias("b_tokens"), F.count("*").alias("b_turns"))
-    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "conv", "block", F.coalesce(F.sum("b_tokens").over(earlier), F.lit(0)).alias("b_start"), F.coalesce(F.sum("b_turns").over(earlier), F.lit(0)).alias("b_first")
-    )
-    order = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "body")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.join(blocks, ["conv", "block"]).select(
-        "conv_id", "conv", "role", "body",
-        (F.col("b_first") + F.row_number().over(order) - 1).alias("at"),
-        (F.col("b_start") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).alias("begins"),
-    )
-    t = t.withColumn("window", F.floor(F.col("begins") / budget).cast("long"))
-    heads = t.groupBy("conv", "window").agg(F.min("at").alias("w_at"), F.min("begins").alias("w_begins"))
-    system = t.where(F.col("role") == "system").groupBy("conv").agg(F.min(F.struct("at", "conv_id", "role", "body")).alias("s"))
-    kept = system.join(heads, "conv").where(F.col("s.at") < F.col("w_at")).select("conv", "s.conv_id", "s.role", "s.body", "s.at", "window", F.lit(True).alias("again"))
-    told = t.withColumn("into", F.explode(F.array(F.col("window") + 1, F.col("window") + 2)))
-    told = told.join(heads.withColumnRenamed("window", "into"), ["conv", "into"]).where(F.col("w_begins") - F.col("begins") <= history)
-    told = told.join(system.select("conv", F.col("s.at").alias("s_at")), "conv", "left").where(F.col("s_at").isNull() | (F.col("at") != F.col("s_at")))
-    told = told.select("conv", "conv_id", "role", "body", "at", F.col("into").alias("window"), F.lit(True).alias("again"))
-    own = t.select("conv", "conv_id", "role", "body", "at", "window", F.lit(False).alias("again"))
-    every = own.unionByName(kept).unionByName(told)
+        "conv_id", F.concat(F.when(F.col("conv_id").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).alias("conv"),
+        "turn", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"),
+    ).withColumn("key", turn_key(F.col("turn"), F.col("role"), F.col("body")))
+    placed = _places(t.select("conv", "turn", "role", "key", estimate(F.col("body")).alias("tokens")), budget, history, block)
+    # Equal rows of a conversation are one text with as many places.
+    texts = t.groupBy("conv", "key").agg(F.first(F.struct("conv_id", "role", "body")).alias("t"))
+    every = placed.join(texts, ["conv", "key"]).select("conv", "window", "at", "again", "t.conv_id", "t.role", "t.body")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     every = every.select(
         "conv", "conv_id", "window",
@@ -159,7 +173,7 @@ b AS (
     replace(replace(replace(coalesce(role, ''), '\', '\\'), '<|', '<\|'), chr(10), '<\n') AS role_out FROM a),
 c AS (
   SELECT *, (length(body) + 3) // 4 + 4 AS tokens, length(body) + length(role_out) + 24 AS chars,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, body) - 1 AS pos FROM b),
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, md5(concat_ws(chr(10), coalesce(CAST(turn AS VARCHAR), ''), role_out, body))) - 1 AS pos FROM b),
 d AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM c),
 e AS (SELECT *, begins // 1024 AS win FROM d),
 w AS (SELECT conv_id, win, min(pos) AS w_pos, min(begins) AS w_begins FROM e GROUP BY 1, 2),
@@ -167,7 +181,7 @@ s AS (SELECT conv_id, min(pos) AS s_pos, arg_min(chars, pos) AS s_chars FROM e W
 extra AS (
   SELECT w.conv_id, s_chars AS chars FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s_pos < w_pos
   UNION ALL
-  SELECT e.conv_id, e.chars FROM w JOIN e ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND e.win < w.win AND e.win >= w.win - 2 AND w_begins - e.begins <= 256
+  SELECT e.conv_id, e.chars FROM w JOIN e ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND e.win = w.win - 1 AND w_begins - e.begins <= 256
   LEFT JOIN s ON e.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s_pos IS NULL OR e.pos <> s_pos),
 x AS (SELECT conv_id, sum(chars) AS chars FROM extra GROUP BY 1),
 f AS (
