@@ -119,15 +119,15 @@ def _sign(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs: node, hub, text."""
+    """docs: node, hub, first, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), width) for t in batch.column("text")]
-            columns = [batch.column("node"), batch.column("hub"), pa.array([len(s) for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "hub", "n", "shingles"])
+            columns = [*batch.columns[:3], pa.array([len(s) for s in found], type=pa.int64()), pa.array([s.tobytes() for s in found], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "hub", "first", "n", "shingles"])
 
-    return docs.mapInArrow(tidy(run), "node long, hub long, n long, shingles binary")
+    return docs.mapInArrow(tidy(run), "node long, hub long, first boolean, n long, shingles binary")
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
@@ -202,15 +202,18 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     stars = materialise(banded.join(hubs, "key").where(F.col("node") > F.col("hub")).select("node", "hub").distinct(), "stars")
 
     own = stars.groupBy("node").agg(F.min("hub").alias("hub"))
-    wanted = own.unionByName(stars.select(F.col("hub").alias("node"), F.lit(None).cast("long").alias("hub"))).groupBy("node").agg(F.min("hub").alias("hub"))
+    # first: the least hub of some node.
+    as_hub = lambda df, first: df.select(F.col("hub").alias("node"), F.lit(None).cast("long").alias("hub"), F.lit(first).alias("first"))
+    wanted = own.withColumn("first", F.lit(False)).unionByName(as_hub(own, True)).unionByName(as_hub(stars, False))
+    wanted = wanted.groupBy("node").agg(F.min("hub").alias("hub"), F.max("first").alias("first"))
     wanted = materialise(wanted, "wanted")
     sieve = wanted.select(F.pmod(F.xxhash64("node"), F.lit(SIFT)).alias("place")).distinct()
     texts = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(SIFT))).join(F.broadcast(sieve), "place", "left_semi")
-    texts = texts.join(wanted, F.col("doc_id") == F.col("node")).select("node", "hub", "text")
+    texts = texts.join(wanted, F.col("doc_id") == F.col("node")).select("node", "hub", "first", "text")
     sets = materialise(_sets(texts, width), "sets")
 
-    hub_sets = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    hub_sets = hub_sets.join(sets.where(F.col("hub").isNotNull()).select(F.col("hub").alias("a")).distinct(), "a", "left_semi")
+    # Both sides are tables, so that Spark can split a large hub's rows.
+    hub_sets = sets.where("first").select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     pairs = sets.where(F.col("hub").isNotNull()).select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("shingles").alias("right"))
     first = materialise(_verify(pairs.join(hub_sets, "a").select("a", "b", "left", "right")), "links")
 
