@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .storage import fresh_path, materialise
 
@@ -160,6 +161,13 @@ class RangeReader:
         return self.files[shard].read_at(length, offset)
 
 
+def spread_index(index: DataFrame, piece_bytes: int = 8 << 20, most_pieces: int = 20_000) -> DataFrame:
+    """The index dealt out by pieces of shards, so that tasks have about as many bytes to read, whatever the index's own files hold."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    size = max(piece_bytes, total // most_pieces)
+    return index.repartition(1 + total // size, "shard", F.floor(F.col("offset") / size))
+
+
 def fill_metadata(index: DataFrame) -> DataFrame:
     """Adds width, height and bits to the index, reading the first bytes of each member only."""
 
@@ -198,7 +206,7 @@ def read_features(index: DataFrame) -> DataFrame:
 def op7_store_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as stored media, read back."""
     index = store_payloads(spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_path(spark, "media"))
-    found = read_features(fill_metadata(index))
+    found = read_features(fill_metadata(spread_index(index)))
     return found.selectExpr(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "length AS media_bytes", "media_sha256", "feature",
         "digest", "shard", "offset", "width", "height", "bits",

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tarfile
 import zlib
 
+import pytest
+
 from fathom.llm import media
 from fathom.llm.storage import fresh_path
 
@@ -33,3 +36,24 @@ def test_equal_payloads_are_stored_once_and_no_rows_make_no_shard(spark, tmp_pat
     assert index.select("shard", "offset").distinct().count() == 1
     assert media.store_payloads(table(spark, []), str(tmp_path / "none")).count() == 0
     assert not list((tmp_path / "none").glob("*")) if (tmp_path / "none").exists() else True
+
+
+def test_spreading_keeps_the_index(spark, documents, tmp_path):
+    index = media.store_payloads(table(spark, documents).repartition(3), fresh_path(spark, "media"), shard_bytes=4000)
+    spread = media.spread_index(index, piece_bytes=3000)
+    assert spread.rdd.getNumPartitions() > 3
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, index.collect()))
+    empty = media.store_payloads(table(spark, []), str(tmp_path / "none"))
+    assert media.spread_index(empty).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    found = {r.doc_id: r for r in media.op7_store_media(spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == len(texts)
+    for doc_id, text in texts:
+        payload = media.payload_of(text or "")
+        r = found[doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.media_bytes == len(media.to_png(payload))
