@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     counts = counts.where((F.col("rest_total") > 0) & ~((F.col("many") == 1) & F.col("all_seen")))
     part = lambda total, size: F.ceil(F.col(total) / size).cast("int")
     # Members lie in smaller blocks where the copies of the rest that this takes are no more than the members.
-    finer = F.least(part("total", BLOCK_ELEMENTS // 8), F.ceil(F.col("total") / F.col("rest_total")).cast("int"))
+    finer = F.least(part("total", max(1, BLOCK_ELEMENTS // 32)), F.ceil(F.col("total") / F.col("rest_total")).cast("int"))
     counts = counts.select("hub", F.greatest(part("total", BLOCK_ELEMENTS), finer).alias("jn"), part("rest_total", BLOCK_ELEMENTS).alias("in"))
     hub_rows = counts.join(labels, F.col("hub") == F.col("node")).select("hub", "node", "label", F.lit(False).alias("rest"), "jn", "in")
     rows = members.join(counts, "hub").select("hub", "node", "label", "rest", "jn", "in").unionByName(hub_rows)
