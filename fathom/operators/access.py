@@ -21,8 +21,8 @@ def postings_of(index: Index, term: str) -> DataFrame:
     return found.join(index.searchable().where(F.col("term") == term).select("term"), "term", "left_semi")
 
 
-#: Most terms of a batch of queries whose names are put into the scan of the postings.
-MOST_PUSHED = 2000
+#: Most terms of a batch of queries whose names are put into the scan of the postings; every row is held against each list.
+MOST_PUSHED = 50
 _IN = 10  # longer lists reach the files' readers as a range only
 
 
