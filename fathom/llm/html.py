@@ -7,8 +7,9 @@ length and the punctuation of its blocks are added up and divided by the number
 of blocks. Both ratios are smoothed along the page, multiplied and held against a
 threshold (a share of their standard deviation), which selects the paths with
 content. The article is the outermost ``article`` or ``main`` element around
-them, of which every block is kept; where there is none, the stretch from the
-first to the last selected block, without blocks that are links and little else.
+them, of which every block is kept; where there is none, the least element around
+all selected blocks that is more than a part of a text (a paragraph, list, table
+or section), to its end, without blocks that are links and little else.
 
 Defined results: a null or empty page, and one without blocks, has an empty
 text; unclosed elements end with the element around them, an unclosed comment or
@@ -48,7 +49,10 @@ _WORDS = frozenset(
     " header masthead footer cookie cookies consent gdpr notice notices disclaimer newsletter subscribe subscription signup popup modal overlay share sharing social"
     " related recommended comments comment disqus replies reply respond widget widgets pagination pager toolbar login copyright aside".split()
 )
-_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARTS = _HEADINGS | frozenset(
+    "p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr section details summary address hgroup".split()
+)
 _WHOLE = frozenset(("html", "body", "article", "main"))
 _MARKS = re.compile(r"[.,;:!?…。、！？؛،]")
 
@@ -195,6 +199,44 @@ def content_paths(found: list[_Block], share: float = 0.8) -> set[str]:
     return {path for path, f in zip(paths, fused, strict=True) if f >= threshold}
 
 
+def _container(found: list[_Block], chosen: set[str]) -> list[_Block]:
+    """The blocks of the least element around all blocks on chosen paths that is more than a part of a text."""
+    line, e = [], next(b.element for b in found if b.element.path in chosen)
+    while e:
+        line.append(e)
+        e = e.parent
+    height = {id(e): k for k, e in enumerate(line)}
+    meets = []
+    for b in found:
+        e, walked = b.element, []
+        while id(e) not in height:
+            walked.append(id(e))
+            e = e.parent
+        height.update(dict.fromkeys(walked, height[id(e)]))
+        meets.append(height[id(e)])
+
+    def whole(top: int) -> int:
+        while line[top].parent and (line[top].tag in _PARTS or line[top].tag in _INLINE):
+            top += 1
+        return top
+
+    top = whole(max(m for m, b in zip(meets, found, strict=True) if b.element.path in chosen))
+    if len(found) > 1 and sum(m <= top for m in meets) == 1:
+        top = whole(min(m for m in meets if m > top))
+    return [b for m, b in zip(meets, found, strict=True) if m <= top]
+
+
+def _text(kept: list[_Block], chosen: set[str]) -> str:
+    """Without blocks that are links and little else, unless they are on a chosen path or head a block that stays."""
+    texts: list[str] = []
+    stays = False
+    for b in reversed(kept):
+        stays = b.element.path in chosen or b.linked <= 0.7 * b.chars or (stays and b.element.tag in _HEADINGS)
+        if stays:
+            texts.append(b.text)
+    return "\n".join(reversed(texts))
+
+
 def extract(html: str | None) -> str:
     found = blocks(html) if html else []
     if not found:
@@ -206,12 +248,7 @@ def extract(html: str | None) -> str:
             articles[id(b.element.article)] = articles.get(id(b.element.article), 0) + b.chars
     if articles:
         return "\n".join(b.text for b in found if id(b.element.article) in articles)
-    at = [i for i, b in enumerate(found) if b.element.path in chosen]
-    first = at[0]
-    while first and re.fullmatch("h[1-6]", found[first - 1].element.tag):
-        first -= 1
-    stretch = found[first : at[-1] + 1]
-    return "\n".join(b.text for b in stretch if b.element.path in chosen or (b.element.tag in _PARAGRAPHS and b.linked <= 0.7 * b.chars))
+    return _text(_container(found, chosen), chosen)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from fathom.llm.html import extract, extract_pages
+from fathom.llm.html import blocks, extract, extract_pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="no-comments has-sidebar">
 <nav><a href=/x>Menu, one.</a></nav><header><p>Site name, here.</p></header><div class="cookie-notice">We use cookies, yes.</div>
@@ -19,6 +19,25 @@ def test_without_article():
     assert extract(page) == "Head\nLong text, with marks; and more of them, so that it counts. It does.\nShort.\nMore text, and more, to read. Yes."
 
 
+def test_the_end_without_article():
+    long = "<p>" + "Long text, with marks; and more of them, so that it counts. It does. " * 6 + "</p>"
+    ends = {
+        "<ul>" + "<li>A closing item of the list, sixty characters or so, it says.</li>" * 4 + "</ul>": "A closing item of the list, sixty characters or so, it says.",
+        "<table><tr><th>Year<th>Sum<tr><td>1999<td>12</table>": "12",
+        "<h2>Outlook</h2><p class=short>Short.</p>": "Outlook\nShort.",
+        "<div>Text right in a div</div>": "Text right in a div",
+        "<h2><a href=#x>Linked head</a></h2><p class=short>Short.</p>": "Linked head\nShort.",
+    }
+    for end, last in ends.items():
+        page = f"<body><div><a href=1>one</a> <a href=2>two</a></div><div class=content><div>By an author</div><h1>A heading of forty characters, or so, it is</h1>{long * 5}{end}</div><div><a href=3>three</a></div></body>"
+        lines = extract(page).split("\n")
+        assert lines[:2] == ["By an author", "A heading of forty characters, or so, it is"] and "\n".join(lines).endswith(last), end
+        assert len(lines) == len([b for b in blocks(page) if "div.content" in b.element.path]), end
+        assert not {"one two", "three"} & set(lines)
+    assert extract(f"<body><div><section class=a>{long}</section><section class=b><h2>B</h2>c</section></div><div><a href=1>x</a></div>").endswith("\nB\nc")
+    assert extract(f"<table><tr><td><a href=1>x</a><td><b>{long}</b><ul><li>a<li>b</ul></table>").endswith("\na\nb")
+
+
 def test_broken_markup():
     assert extract(None) == extract("") == extract("<nav>x</nav>") == extract("<!-- open") == ""
     assert extract("plain 1 < 2 & 3") == "plain 1 < 2 & 3"
