@@ -4,8 +4,11 @@ Rules judge a page by its host and path; the longest rule that fits wins. For th
 other pages the host decides. A host's trust seed is the share of its pages that
 rules allow, its distrust seed the share that they block. Trust goes along links
 (personalised PageRank from the trusted hosts); distrust goes against them, from
-blocked hosts to those that link to them. A host is blocked if its distrust is at
-least ``threshold`` and more than its trust.
+blocked hosts to those that link to them: what rules don't judge of a host gets
+``DAMPING`` times the mean distrust of the hosts that it links to, so it lies
+between 0 and 1 however many others link to the same hosts. Both are iterated
+until they change by less than ``TOLERANCE``, however long the ways are. A host is
+blocked if its distrust is at least ``threshold`` and more than its trust.
 
 Pages are reduced to counts by host, and links to one row for each pair of hosts,
 before anything is joined; ranks are added up with partial sums, so a host that a
@@ -31,6 +34,8 @@ from .storage import materialise
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>\\]+)"
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+#: Sum over all hosts of the change in 5 rounds.
+TOLERANCE = 1e-9
 
 
 def lower(column: Column) -> Column:
@@ -66,23 +71,50 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where((F.col("from") != "") & (F.col("from") != F.col("to"))).distinct()
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """links: from, to. seeds: host, seed. Personalised PageRank, in units of a seed's own share."""
-    out = links.groupBy("from").agg(F.count("*").alias("degree"))
-    edges = links.join(out, "from").select("from", "to", (F.lit(damping) / F.col("degree")).alias("part"))
-    if links.isEmpty():
-        return seeds.select("host", F.col("seed").alias("rank"))
+def _iterate(edges: DataFrame, seeds: DataFrame, rounds: int | None, tolerance: float) -> DataFrame:
+    """edges: src, dst, part. Each host's seed and the parts of the ranks sent to it; without ``rounds``, until they stay."""
     edges = materialise(edges, "edges")
     seeds = seeds.where(F.col("seed") > 0).select("host", F.col("seed").cast("double").alias("rank"))
-    ranks = seeds
-    for k in range(rounds):
-        sent = edges.join(ranks, F.col("from") == F.col("host")).select(F.col("to").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
+    ranks = before = seeds
+    k = 0
+    while rounds is None or k < rounds:
+        sent = edges.join(ranks, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
         ranks = seeds.unionByName(sent).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 5 == 4:
+        k += 1
+        if k % 5 == 0:
             ranks = materialise(ranks, "ranks")
+            if rounds is None:
+                both = ranks.join(before.withColumnRenamed("rank", "old"), "host", "full")
+                change = both.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+                if (change or 0.0) < tolerance:
+                    break
+                before = ranks
     return ranks
 
 
+def _parts(links: DataFrame, damping: float) -> DataFrame:
+    out = links.groupBy("from").agg(F.count("*").alias("degree"))
+    return links.join(out, "from").select("from", "to", (F.lit(damping) / F.col("degree")).alias("part"))
+
+
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """links: from, to. seeds: host, seed. Personalised PageRank, in units of a seed's own share."""
+    if links.isEmpty():
+        return seeds.select("host", F.col("seed").alias("rank"))
+    edges = _parts(links, damping).select(F.col("from").alias("src"), F.col("to").alias("dst"), "part")
+    return _iterate(edges, seeds, rounds, tolerance)
+
+
+def spread_back(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """links: from, to. seeds: host, seed (0 to 1). The seed, and of the rest the mean rank of the hosts linked to, damped."""
+    if links.isEmpty():
+        return seeds.select("host", F.col("seed").alias("rank"))
+    own = seeds.select(F.col("host").alias("from"), F.col("seed").alias("own"))
+    rest = F.lit(1.0) - F.coalesce("own", F.lit(0.0))
+    edges = _parts(links, damping).join(own, "from", "left").select(F.col("to").alias("src"), F.col("from").alias("dst"), (F.col("part") * rest).alias("part"))
+    return _iterate(edges.where(F.col("part") > 0), seeds, None, tolerance)
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """pages: page_id, url, html. Returns page_id, host, path, rule, verdict, trust and distrust."""
     at = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
@@ -91,8 +123,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
     share = lambda what: F.avg((F.coalesce(F.col("said"), F.lit("")) == what).cast("double"))
     hosts = materialise(at.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")), "hosts")
     links = materialise(host_links(pages.select(host(F.col("url")).alias("host"), "html")), "links")
-    trust = spread(links, hosts.select("host", F.col("good").alias("seed")))
-    distrust = spread(links.select(F.col("to").alias("from"), F.col("from").alias("to")), hosts.select("host", F.col("bad").alias("seed")))
+    trust = spread(links, hosts.select("host", F.col("good").alias("seed")), rounds=None)
+    distrust = spread_back(links, hosts.select("host", F.col("bad").alias("seed")))
     judged = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
     judged = judged.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     bad = (F.round("distrust", 9) >= threshold) & (F.round("distrust", 9) > F.round("trust", 9))

@@ -62,6 +62,37 @@ def test_distrust_goes_against_links(spark):
     assert found[7].trust > 0 and found[4].distrust == 0
 
 
+def page_to(*hosts):
+    return "".join(f'<a href="https://{h}/x">x</a>' for h in hosts)
+
+
+def test_a_blocked_host_with_many_linkers(spark):
+    farm, bad = [f"farm{k}.test" for k in range(8)], ["bad1.net", "bad2.net", "bad3.net"]
+    rows = [(k, f"http://{h}/", page_to(*bad)) for k, h in enumerate(farm)] + [(10 + k, f"http://{h}/", None) for k, h in enumerate(bad)]
+    rows += [(20, "http://single.test/", page_to("bad1.net")), (21, "http://mixed.test/", page_to("bad1.net", "a.test", "b.test", "c.test"))]
+    found = judged(spark, rows)
+    assert {k: r.verdict for k, r in found.items() if k < 21} == {r[0]: "block" for r in rows if r[0] < 21}
+    assert {round(found[k].distrust, 9) for k in (0, 7, 20)} == {0.85} and round(found[10].distrust, 9) == 1
+    assert found[21].verdict == "allow" and round(found[21].distrust, 9) == 0.2125
+
+
+def test_trust_goes_further_than_ten_links(spark):
+    rows = [(k, f"http://h{k}.org/{'fr/' if k == 0 else 'x'}", page_to(f"h{k + 1}.org")) for k in range(13)]
+    found = judged(spark, rows)
+    assert {k: round(r.trust, 9) for k, r in found.items()} == {k: round(0.85**k, 9) for k in range(13)}
+
+
+def test_distrust_against_a_loop(spark):
+    links = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("d", "e"), ("e", "d"), ("f", "b"), ("b", "f")]
+    seeds = {"c": 1.0, "d": 0.25}
+    found = urls.spread_back(spark.createDataFrame(links, "from string, to string"), spark.createDataFrame([*seeds.items(), ("b", 0.0)], "host string, seed double"), 0.3)
+    ranks = dict.fromkeys("abcdef", 0.0)
+    for _ in range(60):
+        to = {h: [ranks[b] for a, b in links if a == h] for h in ranks}
+        ranks = {h: seeds.get(h, 0.0) + (1 - seeds.get(h, 0.0)) * 0.3 * sum(to[h]) / len(to[h]) for h in ranks}
+    assert {r.host: round(r.rank, 8) for r in found.collect()} == {k: round(v, 8) for k, v in ranks.items()}
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
 
