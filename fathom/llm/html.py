@@ -2,7 +2,10 @@
 
 A page is read as a tree of elements; what a page's own markup declares to be no
 part of the article (navigation, headers, footers, asides, forms, notices,
-adverts, comments, scripts) is left out. Over each root-to-leaf tag path the text
+adverts, comments, scripts) is left out. A class or id declares that only if all
+of a name's words do, as in ``cookie-notice`` but not in ``has-sidebar`` or
+``related-work``; it and a form are passed over where they hold most of the
+page's text outside links. Over each root-to-leaf tag path the text
 length and the punctuation of its blocks are added up and divided by the number
 of blocks. Both ratios are smoothed along the page, multiplied and held against a
 threshold (a share of their standard deviation), which selects the paths with
@@ -37,7 +40,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
-_DROPPED = frozenset("nav header footer aside form button select option datalist dialog menu object canvas audio video map frameset head".split())
+_DROPPED = frozenset("nav header footer aside button select option datalist dialog menu object canvas audio video map frameset head".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"},
@@ -49,6 +52,11 @@ _WORDS = frozenset(
     " header masthead footer cookie cookies consent gdpr notice notices disclaimer newsletter subscribe subscription signup popup modal overlay share sharing social"
     " related recommended comments comment disqus replies reply respond widget widgets pagination pager toolbar login copyright aside".split()
 )
+# Words that say where or how, and leave it to the other words of a name what.
+_PLACES = frozenset(
+    "site main page top bottom left right primary secondary global container wrapper wrap box area bar block list item items section link links button buttons post posts inner outer"
+    " article articles row col column panel small large sticky fixed form icon icons toggle content body unit slot div gpt x".split()
+)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = _HEADINGS | frozenset(
     "p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr section details summary address hgroup".split()
@@ -58,10 +66,11 @@ _MARKS = re.compile(r"[.,;:!?…。、！？؛،]")
 
 
 class _Element:
-    __slots__ = ("article", "dropped", "link", "parent", "path", "tag")
+    __slots__ = ("article", "dropped", "link", "named", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, dropped: bool, label: str, article: bool):
+    def __init__(self, tag: str, parent: _Element | None, dropped: bool, label: str, article: bool, named: int | None = None):
         self.tag, self.parent, self.dropped = tag, parent, dropped or bool(parent and parent.dropped)
+        self.named = named if named is not None else parent.named if parent else None
         self.path = (f"{parent.path}/{label}" if parent else label) if tag not in _INLINE else parent.path if parent else ""
         self.article = (parent.article if parent else None) or (self if article else None)
         self.link = tag == "a" or bool(parent and parent.link and tag in _INLINE)
@@ -74,6 +83,15 @@ class _Block:
         self.element, self.text, self.linked, self.chars = element, text, linked, len(text)
 
 
+class _Named:
+    """An element that its class or id, or being a form, declares to be something else, and its text outside links."""
+
+    __slots__ = ("chars", "form", "in_article", "parent")
+
+    def __init__(self, form: bool, in_article: bool, parent: int | None):
+        self.chars, self.form, self.in_article, self.parent = 0, form, in_article, parent
+
+
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" \t\r\n\f/") else {}
 
@@ -81,15 +99,39 @@ def _attributes(rest: str) -> dict[str, str]:
 def _dropped(tag: str, attributes: dict[str, str]) -> bool:
     if tag in _DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if attributes.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+    return attributes.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+
+
+def _declares(name: str) -> bool:
+    words = {w for w in re.split(r"[^a-z]+", name.lower()) if w}
+    return not words.isdisjoint(_WORDS) and words <= _WORDS | _PLACES
+
+
+def _named(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the class or id declares the element to be something else; a heading's id is made of its text."""
     if tag in _WHOLE:
         return False
-    return any(w in _WORDS for k in ("class", "id") if k in attributes for w in re.split(r"[^a-z]+", attributes[k].lower()))
+    return any(_declares(name) for k in ("class", "id") if k in attributes and not (k == "id" and tag in _HEADINGS) for name in attributes[k].split())
 
 
 def blocks(html: str) -> list[_Block]:
     """The blocks of a page that its markup doesn't declare to be something else, in page order."""
+    found, named = _read(html, frozenset())
+    if not named:
+        return found
+    # A name's sum takes in those inside it, which come later.
+    total = sum(b.chars - b.linked for b in found) + sum(n.chars for n in named)
+    for n in reversed(named):
+        if n.parent is not None:
+            named[n.parent].chars += n.chars
+    beside = any(b.element.article for b in found)
+    kept = frozenset(k for k, n in enumerate(named) if 2 * n.chars > total and (n.form or n.in_article or not beside))
+    return _read(html, kept)[0] if kept else found
+
+
+def _read(html: str, kept: frozenset[int]) -> tuple[list[_Block], list[_Named]]:
+    """The blocks outside elements that are named something else, but for those kept, and these elements."""
+    named: list[_Named] = []
     found: list[_Block] = []
     here = _Element("", None, False, "", False)
     parts: list[str] = []
@@ -109,6 +151,10 @@ def blocks(html: str) -> list[_Block]:
         nonlocal linked
         if raw and not here.dropped:
             text = unescape(raw) if "&" in raw else raw
+            if here.named is not None:
+                if not here.link:
+                    named[here.named].chars += len(" ".join(text.split()))
+                return
             parts.append(text)
             if here.link:
                 linked += len(text)
@@ -166,10 +212,16 @@ def blocks(html: str) -> list[_Block]:
             if tag in _CLOSES:
                 close(_CLOSES[tag], _SCOPE.get(tag, {"table", "ul", "ol", "dl", "select"}))
         label = tag + ("." + attributes["class"].split()[0] if attributes.get("class", "").split() else "")
-        here = _Element(tag, here, _dropped(tag, attributes), label, tag in ("article", "main") or attributes.get("role", "").lower() == "main")
+        article = tag in ("article", "main") or attributes.get("role", "").lower() == "main"
+        number = None
+        if tag == "form" or _named(tag, attributes):
+            if len(named) not in kept:
+                number = len(named)
+            named.append(_Named(tag == "form", here.article is not None, here.named))
+        here = _Element(tag, here, _dropped(tag, attributes), label, article, number)
     say(html[at:])
     flush()
-    return found
+    return found, named
 
 
 def _smooth(values: list[float], radius: int = 1) -> list[float]:

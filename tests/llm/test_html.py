@@ -38,6 +38,32 @@ def test_the_end_without_article():
     assert extract(f"<table><tr><td><a href=1>x</a><td><b>{long}</b><ul><li>a<li>b</ul></table>").endswith("\na\nb")
 
 
+def test_names_that_declare_nothing_else():
+    long = "Long text, with marks; and more of them, so that it counts. It does. " * 6
+    head = f"<h1>Title</h1><p>{long}</p>"
+    kept = [
+        "<h2 id=share-prices>Head</h2>", "<h2 id=comments>Head</h2>", "<section id=related-work><p>More, text.</p></section>", "<p class=notice-period>Period, text.</p>",
+        "<div class='content has-sidebar'><p>In, here.</p></div>", "<div class=no-comments>In, here.</div>",
+    ]
+    gone = ["ad", "cookie-notice", "site-header x", "comment-list", "ad-300x250", "NavBar-2 nav", "related-posts", "footer__links"]
+    for outer in ("article", "div"):
+        for part in kept:
+            assert extract(f"<{outer}>{head}{part}<p>{long}</p></{outer}>").count("\n") == 3, part
+        for name in gone:
+            assert extract(f"<{outer}>{head}<div class='{name}'><p>Gone, text.</p></div><p>{long}</p></{outer}>").count("\n") == 2, name
+
+
+def test_names_around_the_text():
+    long = "Long text, with marks; and more of them, so that it counts. It does."
+    inner = f"<div class=menu>Menu, text</div><h1>Title</h1><p>{long}</p><p>{long}</p>"
+    for start, end in (("<div class=sidebar>", "</div>"), ("<form action=/page.aspx>", "</form>"), ("<form><div id=comments>", "</div></form>"), ("<main><div class=widget>", "</div></main>")):
+        assert extract(f"<body>{start}{inner}{end}<footer>x</footer>") == f"Title\n{long}\n{long}", start
+    assert extract(f"<form><article>{inner}</article></form>") == f"Title\n{long}\n{long}"
+    # What is named an advert stays one beside an article, however short that is.
+    assert extract(f"<div class=ad>{long}</div><article><p>Short.</article>") == "Short."
+    assert extract(f"<article><p>{long} {long}<div class=ad>{long}</div></article>") == f"{long} {long}"
+
+
 def test_broken_markup():
     assert extract(None) == extract("") == extract("<nav>x</nav>") == extract("<!-- open") == ""
     assert extract("plain 1 < 2 & 3") == "plain 1 < 2 & 3"
