@@ -9,10 +9,13 @@ page's text outside links. Over each root-to-leaf tag path the text
 length and the punctuation of its blocks are added up and divided by the number
 of blocks. Both ratios are smoothed along the page, multiplied and held against a
 threshold (a share of their standard deviation), which selects the paths with
-content. The article is the outermost ``article`` or ``main`` element around
-them, of which every block is kept; where there is none, the least element around
-all selected blocks that is more than a part of a text (a paragraph, list, table
-or section), to its end, without blocks that are links and little else.
+content. Where an outermost ``article`` or ``main`` element holds more than half
+of the selected text, the text is that element and the others like it that hold
+some; else it is the least element around all selected blocks that is more than a
+part of a text (a paragraph, list, table or section), to its end. Inside, every
+block is kept whatever its ratios, as headings and lists have low ones; only
+blocks that are links and little else are left out, unless they are on a selected
+path, head a kept block or stand alone between kept ones.
 
 Defined results: a null or empty page, and one without blocks, has an empty
 text; unclosed elements end with the element around them, an unclosed comment or
@@ -279,13 +282,15 @@ def _container(found: list[_Block], chosen: set[str]) -> list[_Block]:
 
 
 def _text(kept: list[_Block], chosen: set[str]) -> str:
-    """Without blocks that are links and little else, unless they are on a chosen path or head a block that stays."""
+    """Without blocks that are links and little else."""
+    own = [b.element.path in chosen or b.linked <= 0.7 * b.chars for b in kept]
     texts: list[str] = []
     stays = False
-    for b in reversed(kept):
-        stays = b.element.path in chosen or b.linked <= 0.7 * b.chars or (stays and b.element.tag in _HEADINGS)
+    for k in reversed(range(len(kept))):
+        alone = 0 < k < len(kept) - 1 and own[k - 1] and own[k + 1]
+        stays = own[k] or alone or (stays and kept[k].element.tag in _HEADINGS)
         if stays:
-            texts.append(b.text)
+            texts.append(kept[k].text)
     return "\n".join(reversed(texts))
 
 
@@ -295,11 +300,14 @@ def extract(html: str | None) -> str:
         return ""
     chosen = content_paths(found)
     articles: dict[int, int] = {}
+    total = 0
     for b in found:
-        if b.element.path in chosen and b.element.article:
-            articles[id(b.element.article)] = articles.get(id(b.element.article), 0) + b.chars
-    if articles:
-        return "\n".join(b.text for b in found if id(b.element.article) in articles)
+        if b.element.path in chosen:
+            total += b.chars
+            if b.element.article:
+                articles[id(b.element.article)] = articles.get(id(b.element.article), 0) + b.chars
+    if articles and 2 * max(articles.values()) > total:
+        return _text([b for b in found if id(b.element.article) in articles], chosen)
     return _text(_container(found, chosen), chosen)
 
 

@@ -64,6 +64,24 @@ def test_names_around_the_text():
     assert extract(f"<article><p>{long} {long}<div class=ad>{long}</div></article>") == f"{long} {long}"
 
 
+def test_which_article():
+    long = "Long text, with marks; and more of them, so that it counts. It does. " * 3
+    text, teaser = f"<h1>Title</h1><p>{long}</p><p>{long}</p><p class=x>Last.</p>", f"<article><p>{long}</p></article>"
+    whole = ["Title", long.strip(), long.strip(), "Last."]
+    # A teaser that is an article does not replace the text; what is inside the same container stays.
+    assert extract(f"<body><div>{text}</div>{teaser}").split("\n") == [*whole, long.strip()]
+    assert extract(f"<body>{teaser}<div>{text}</div>{teaser}").split("\n") == [long.strip(), *whole, long.strip()]
+    # The article is the text where it holds most; other articles with text stay, what is outside does not.
+    assert extract(f"<body><article>{text}{text}</article><article><p>{long}</p></article><p>{long}</p>").split("\n") == [*whole, *whole, long.strip()]
+
+
+def test_links_in_main():
+    long = "Long text, with marks; and more of them, so that it counts. It does. " * 3
+    links = "<ul><li><a href=1>One page</a></li><li><a href=2>Another page</a></li><li><a href=3>A third</a></li></ul>"
+    page = f"<main>{links}<h1><a href=#t>Title</a></h1><p>{long}</p><div><a href=/s>The source</a></div><p>{long}</p><ul><li>a<li>b</ul><h2>More</h2>{links}</main>"
+    assert extract(page).split("\n") == ["Title", long.strip(), "The source", long.strip(), "a", "b", "More"]
+
+
 def test_broken_markup():
     assert extract(None) == extract("") == extract("<nav>x</nav>") == extract("<!-- open") == ""
     assert extract("plain 1 < 2 & 3") == "plain 1 < 2 & 3"
