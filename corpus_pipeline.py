@@ -25,9 +25,21 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of near-duplicates."""
-    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row, of the least id, of each component of near-duplicates.
+
+    Of rows that share that id the one with the longest text stays. Rows without an id are named by their text, so that
+    their copies are found, too; these names come after other ids.
+    """
+    named = F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    docs_named = docs.withColumn("d_name", F.coalesce(F.col("doc_id").cast("long"), named))
+    found = minhash.near_duplicates(docs_named.select(F.col("d_name").alias("doc_id"), "text"))
+    marks = found.groupBy(F.col("doc_id").alias("d_name")).agg(F.count("*").alias("d_rows"), F.min("kept").alias("d_kept"))
+    marks = materialise(marks.where(~F.col("d_kept") | (F.col("d_rows") > 1)), "marks")
+    single = docs_named.join(marks.select("d_name"), "d_name", "left_anti").select(*docs.columns)
+    repeated = docs_named.join(marks.where("d_kept").select("d_name"), "d_name", "left_semi")
+    longest = F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.xxhash64(*docs.columns))
+    one = repeated.groupBy("d_name").agg(F.max_by(F.struct(*docs.columns), longest).alias("d_row"))
+    return single.unionByName(one.select("d_row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,20 @@ def test_stages(spark, documents, tmp_path):
     assert ids(corpus_pipeline.run(spark, folder)) == ids(pieces)
 
 
+def test_one_row_of_each_component(spark, documents):
+    stay = lambda rows: corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()
+    words = [f"{w}{k}" for k in range(8) for w in ("river", "stone", "light", "under", "carry", "morning", "window")]
+    a, b, c, d = (" ".join(f"{x}{w}" for w in words) for x in "abcd")
+    near = " ".join(c.split()[:-1])
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b + " and more"), (None, c), (None, c), (None, near), (None, d), (5, d), (None, None), (None, None), (7, None)]
+    found = [(r.doc_id, r.text) for r in stay([(i, t, "en", "s") for i, t in rows])]
+    assert sorted(x for x in found if x[0] not in (None, 7)) == [(1, a), (3, b + " and more"), (5, d)]
+    assert found.count((7, None)) == found.count((None, None)) == 1
+    assert [x[1] in (c, near) for x in found if x[0] is None and x[1]] == [True] and len(found) == 6
+    kept = [r.doc_id for r in stay(documents)]
+    assert len(kept) == len(set(kept)) and documents[-2][0] in kept and kept.count(None) == 1
+
+
 def test_names_and_sql():
     names = registry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
