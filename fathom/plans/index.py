@@ -17,6 +17,7 @@ from fathom.functions import scoring
 from fathom.functions.tokenize import tokens
 
 DF_CUTOFF = 9
+SIFT = 1 << 20  # most rows that are broadcast
 TYPES = ("docids", "tf", "positional")
 
 
@@ -51,7 +52,14 @@ class Index:
 
 def tokenized(docs: DataFrame, docid: Column, text: Column) -> DataFrame:
     """docid, terms: the document vectors. Of rows that share an id, one is taken, whichever text sorts first."""
-    return docs.select(docid.cast("long").alias("docid"), tokens(text).alias("terms"))
+    rows = docs.select(docid.cast("long").alias("docid"), text.alias("text")).withColumn("place", F.pmod(F.xxhash64("docid"), F.lit(SIFT)))
+    # Only rows in a repeated id's place are grouped, so that other texts needn't move; a row without an id shares it with no other.
+    repeated = rows.where(F.col("docid").isNotNull()).groupBy("docid", "place").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    sieve = F.broadcast(repeated.select("place").distinct())
+    placed = rows.withColumn("place", F.when(F.col("docid").isNotNull(), F.col("place")))
+    single = placed.join(sieve, "place", "left_anti").select("docid", "text")
+    one = placed.join(sieve, "place", "left_semi").groupBy("docid").agg(F.min("text").alias("text"))
+    return single.unionByName(one).select("docid", tokens(F.col("text")).alias("terms"))
 
 
 def collection_stats(doc_stats: DataFrame) -> DataFrame:

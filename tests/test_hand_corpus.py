@@ -152,6 +152,18 @@ def test_retrieve_kinds(index, spark):
         retrieve(index, q, "other")
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "c c"), (2, "b a a"), (2, None), (3, None), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ix.tokenized(docs, F.col("doc_id"), F.col("text"))
+    assert sorted((str(r.docid), r.terms) for r in found.collect()) == [("1", ["a", "b"]), ("2", ["b", "a", "a"]), ("3", []), ("None", ["a"]), ("None", ["a"])]
+    i = ix.build_index(found.where("docid IS NOT NULL"), df_cutoff=0)
+    assert sorted(tuple(r) for r in i.postings.select("term", "docid", "tf", "doc_len", "positions").collect()) == [
+        ("a", 1, 1, 2, [1]), ("a", 2, 2, 3, [2, 3]), ("b", 1, 1, 2, [2]), ("b", 2, 1, 3, [1]),
+    ]
+    assert (i.stats.first().n_docs, i.stats.first().total_len) == (3, 5)
+
+
 def test_empty_collection(spark):
     none = ix.build_index(spark.createDataFrame([], "docid long, terms array<string>"))
     assert candidates.bm25_top(none, asked(spark, "a")).count() == 0
