@@ -29,7 +29,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.OP3_SQL,
-        "op5_token_rollup": rollup.OP5_SQL,
         "op6_format_chats": chat.OP6_SQL,
         "op8_judge_urls": urls.OP8_SQL,
     }

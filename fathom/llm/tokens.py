@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder | PlainEncoder | RankCounter] = {}
 
 #: Marks that the tokenizer parts from a letter before them; no apostrophe and no part of a special token.
 MARKS = b".,;:!?*#$%&()[]{}\"/"
@@ -21,10 +22,20 @@ _LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
 _ODD[[ord("<"), 0xCC, 0xCD]] = True  # special tokens, and accents that compose with the letter before
 
 
-def default_path() -> str:
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+#: How the tokenizer that ``ChunkEncoder`` is made for prepares a text.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def public_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def default_path() -> str:
+    return public_path(WORDS)
 
 
 def _prepared(texts: pa.Array) -> pa.Array:
@@ -147,13 +158,91 @@ class ChunkEncoder:
         return out, starts
 
 
-def encoder(path: str, max_entries: int = 600_000) -> ChunkEncoder:
-    """One for each file and process: workers keep it from task to task."""
+class PlainEncoder:
+    """Encodes whole texts with any file for the tokenizers library."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: pa.Array, eos: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by eos, and where each text's begin (one more than texts)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        starts = np.concatenate(([0], np.cumsum([len(ids) + 1 for ids in found], dtype=np.int64)))
+        return np.fromiter((x for ids in found for x in (*ids, eos)), dtype="<u4", count=int(starts[-1])), starts
+
+
+class RankCounter:
+    """Counts tokens with a file of ranks for the tiktoken library, in parts of a text that no token reaches over."""
+
+    PART, RUN = 1 << 20, 4096
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._cut = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+        self._run = re.compile(rf"\s{{{self.RUN},}}(?=\s)|\s{{{self.RUN},}}\Z")
+
+    def _count(self, text: str) -> int:
+        """Of a text without long runs of blanks; a blank between two words begins a token."""
+        n = at = 0
+        while len(text) - at > self.PART and (m := self._cut.search(text, at + self.PART)):
+            n += len(self.encoding.encode_ordinary(text[at : m.start()]))
+            at = m.start()
+        return n + len(self.encoding.encode_ordinary(text[at:] if at else text))
+
+    def __call__(self, text: str) -> int:
+        if len(text) < self.RUN or not (m := self._run.search(text)):
+            return self._count(text)
+        n = at = 0
+        while m:
+            # All of a run but its last blank before a word is one piece.
+            n += self._count(text[at : m.start()]) + len(self.encoding._encode_single_piece(m[0].encode()))
+            at = m.end()
+            m = self._run.search(text, at)
+        return n + self._count(text[at:])
+
+
+def _made_for_chunks(path: str) -> bool:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    before = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = before[0].get("pattern"), before[0].get("behavior"), before[0].get("invert")
+    added = all(t["content"].startswith("<") and not t["normalized"] for t in d.get("added_tokens") or [])
+    return (
+        (d.get("normalizer") or {}).get("normalizers") == NORMALIZER and split == ({"Regex": SPLIT}, "Removed", True) and added
+        and d["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
+def encoder(path: str, max_entries: int = 600_000) -> ChunkEncoder | PlainEncoder:
+    """One for each file and process: workers keep it from task to task. Other tokenizers than ``ChunkEncoder``'s kind encode whole texts."""
     if (path, max_entries) not in _encoders:
-        _encoders[path, max_entries] = ChunkEncoder(path, max_entries)
+        _encoders[path, max_entries] = ChunkEncoder(path, max_entries) if _made_for_chunks(path) else PlainEncoder(path)
     return _encoders[path, max_entries]
 
 
+def counts(path: str, texts: pa.Array) -> np.ndarray:
+    """Tokens of each text by a file for the tokenizers library or, named ``.tiktoken``, one of ranks."""
+    if path.endswith(".tiktoken"):
+        if (path, 0) not in _encoders:
+            _encoders[path, 0] = RankCounter(path)
+        return np.fromiter((_encoders[path, 0](t) if t else 0 for t in texts.to_pylist()), dtype=np.int64, count=len(texts))
+    return np.diff(encoder(path).encode(texts, 0)[1]) - 1
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that the texts of a slice have about most_bytes at most."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
