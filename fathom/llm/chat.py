@@ -4,14 +4,21 @@ A turn is written ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts a backslash
 is doubled and ``<|`` becomes ``<\\|``; in roles a line feed also becomes
 ``<\\n``. So no text holds a control string, and both replacements can be undone.
 
-Prefix sums of the turns' token estimates put each turn into a window: the one
-of the grid of ``budget`` tokens in which the turn begins, so windows hold whole
-turns. Each window repeats the conversation's first system turn and those turns
-before it that begin at most ``history`` tokens before its own first turn. Only
+Prefix sums of the turns' token estimates put whole turns into windows. A window
+repeats the conversation's first system turn, so that turn is counted in each
+window and not in the sums; what then remains of the budget, less the history, is
+the room for a window's own turns. A turn of more than half the room has a window
+to itself. The others lie, by where they begin in their own prefix sums, in the
+cells of a grid as wide as the room less the longest of them, so what begins in a
+cell ends within the room. Cells and long turns, in order, are the windows. Each
+repeats those turns before it that begin at most ``history`` tokens before its own
+first turn, or fewer where a long turn leaves less. So a window has at most
+``budget`` tokens unless its one own turn and the system turn have more. Only
 assistant texts that stand in a window for the first time are under its mask.
 Prefix sums are taken in two steps, over blocks of turn numbers and within them,
-so a conversation with a third of all rows is no single task's. All this is done
-on token counts and digests; the texts are shuffled to their places afterwards.
+and history is found in cells of its own, so a conversation with a third of all
+rows is no single task's. All this is done on token counts and digests; the texts
+are shuffled to their places afterwards.
 
 Defined results: a null text or role is empty; rows with a null conversation id
 are one conversation, null; turns are in the order of turn (null last), role and
@@ -54,39 +61,70 @@ def turn_key(turn: Column, role: Column, body: Column) -> Column:
     return F.md5(F.concat_ws("\n", F.coalesce(turn.cast("string"), F.lit("")), escape_role(role), body).cast("binary"))
 
 
+def _rooms(t: DataFrame, budget: int, history: int) -> DataFrame:
+    """conv, s_key, s_order, s_tokens: the first system turn; room and cell: how many tokens a window's own turns may have, and begin in."""
+    order = F.struct(F.col("turn").isNull().alias("last"), "turn", "key", "tokens")
+    rooms = t.groupBy("conv").agg(F.min(F.when(F.col("role") == "system", order)).alias("s"))
+    rooms = rooms.select("conv", F.col("s.turn").alias("s_turn"), F.col("s.key").alias("s_key"), F.coalesce("s.tokens", F.lit(0)).alias("s_tokens"))
+    rooms = rooms.withColumn("room", F.greatest(F.lit(budget - history) - F.col("s_tokens"), F.lit(1)))
+    t = t.join(rooms.select("conv", "room", "s_key"), "conv")
+    # The system turn itself is in no cell, but equal turns after it are.
+    counted = (F.col("tokens") <= F.col("room") / 2) & (F.col("s_key").isNull() | (F.col("key") != F.col("s_key")) | (F.col("n") > 1))
+    longest = t.groupBy("conv").agg(F.coalesce(F.max(F.when(counted, F.col("tokens"))), F.lit(0)).alias("longest"))
+    return rooms.join(longest, "conv").withColumn("cell", F.col("room") - F.col("longest"))
+
+
 def _places(t: DataFrame, budget: int, history: int, block: int) -> DataFrame:
     """t: conv, turn, role, key, tokens, without any text. Returns conv, key, at, window, again: where each turn stands."""
     t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(2**62)))
-    t = t.groupBy("conv", "block", "turn", "role", "key", "tokens").agg(F.count("*").alias("n"))
-    blocks = t.groupBy("conv", "block").agg(F.sum(F.col("tokens") * F.col("n")).alias("b_tokens"), F.sum("n").alias("b_turns"))
+    t = materialise(t.groupBy("conv", "block", "turn", "role", "key", "tokens").agg(F.count("*").alias("n")), "counts")
+    rooms = materialise(_rooms(t, budget, history), "rooms")
+    t = t.join(rooms.select("conv", "s_key", "room", "cell"), "conv")
+    t = t.withColumn("system", F.coalesce(F.col("key") == F.col("s_key"), F.lit(False))).withColumn("long", F.col("tokens") > F.col("room") / 2)
+    # Of equal turns one is the system turn; it has no tokens and is not long.
+    real = F.col("n") - F.col("system").cast("long")
+    t = t.withColumns({"all": F.col("tokens") * real, "short": F.when(F.col("long"), F.lit(0)).otherwise(F.col("tokens")) * real, "longs": F.col("long").cast("long") * real})
+    sums = ("n", "all", "short", "longs")
+    blocks = t.groupBy("conv", "block").agg(*(F.sum(c).alias(c) for c in sums))
     earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "conv", "block", F.coalesce(F.sum("b_tokens").over(earlier), F.lit(0)).alias("b_start"), F.coalesce(F.sum("b_turns").over(earlier), F.lit(0)).alias("b_first")
-    )
+    blocks = blocks.select("conv", "block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b_{c}") for c in sums))
     before = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "key").rowsBetween(Window.unboundedPreceding, -1)
     t = t.join(blocks, ["conv", "block"]).select(
-        "conv", "key", "role", "tokens", "n",
-        (F.col("b_first") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"),
-        (F.col("b_start") + F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(before), F.lit(0))).alias("start"),
-    )
+        "conv", "key", "role", "tokens", "n", "system", "long", "cell",
+        *((F.col(f"b_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"f_{c}") for c in sums),
+    )
     t = t.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    t = t.select("conv", "key", "role", (F.col("first") + F.col("copy")).alias("at"), (F.col("start") + F.col("copy") * F.col("tokens")).alias("begins"))
-    t = materialise(t.withColumn("window", F.floor(F.col("begins") / budget).cast("long")), "turns")
-    heads = materialise(t.groupBy("conv", "window").agg(F.min("at").alias("w_at"), F.min("begins").alias("w_begins")), "heads")
-    system = t.where(F.col("role") == "system").groupBy("conv").agg(F.min(F.struct("at", "key")).alias("s"))
-    kept = system.join(heads, "conv").where(F.col("s.at") < F.col("w_at")).select("conv", "s.key", "s.at", "window", F.lit(True).alias("again"))
-    # As the history is no longer than a window, a turn can be repeated in the next window alone.
-    told = t.where(F.col("begins") + history >= (F.col("window") + 1) * budget).withColumn("into", F.col("window") + 1)
-    told = told.join(heads.withColumnRenamed("window", "into"), ["conv", "into"]).where(F.col("w_begins") - F.col("begins") <= history)
-    told = told.join(system.select("conv", F.col("s.at").alias("s_at")), "conv", "left").where(F.col("s_at").isNull() | (F.col("at") != F.col("s_at")))
-    told = told.select("conv", "key", "at", F.col("into").alias("window"), F.lit(True).alias("again"))
-    return t.select("conv", "key", "at", "window", F.lit(False).alias("again")).unionByName(kept).unionByName(told)
+    past = F.greatest(F.col("copy") - F.col("system").cast("long"), F.lit(0))  # copies before this one that count
+    own = ~(F.col("system") & (F.col("copy") == 0))
+    alone = F.col("long") & own
+    t = t.select(
+        "conv", "key", (F.col("f_n") + F.col("copy")).alias("at"), (F.col("f_all") + past * F.col("tokens")).alias("begins"),
+        F.when(own, F.col("tokens")).otherwise(F.lit(0)).alias("tokens"), own.alias("own"),
+        (F.col("f_longs") + F.when(F.col("long"), past).otherwise(F.lit(0)) + alone.cast("long")).alias("after"),
+        F.when(alone, F.lit(-1).cast("long")).otherwise(F.floor((F.col("f_short") + F.when(F.col("long"), F.lit(0)).otherwise(past * F.col("tokens"))) / F.col("cell"))).alias("in_cell"),
+    )
+    t = materialise(t, "turns")
+    # A window's name is the number of its first turn; after: long turns so far.
+    heads = t.groupBy("conv", "after", "in_cell").agg(F.min("at").alias("window"), F.min("begins").alias("w_begins"), F.sum("tokens").alias("w_tokens"))
+    heads = materialise(heads.join(rooms.select("conv", "s_key", "s_tokens"), "conv"), "heads")
+    placed = t.join(heads.select("conv", "after", "in_cell", "window"), ["conv", "after", "in_cell"])
+    system = t.where(~F.col("own")).select("conv", F.col("at").alias("s_at"))
+    kept = heads.join(system, "conv").where(F.col("s_at") < F.col("window")).select("conv", F.col("s_key").alias("key"), F.col("s_at").alias("at"), "window", F.lit(True).alias("again"))
+    found = placed.select("conv", "key", "at", "window", F.lit(False).alias("again")).unionByName(kept)
+    if not history:
+        return found
+    # Windows and what they may repeat begin in the same or in neighbouring cells of the history's width; a cell has few of either.
+    left = F.least(F.lit(history), F.lit(budget) - F.col("s_tokens") - F.col("w_tokens"))
+    asking = heads.select("conv", "window", "w_begins", left.alias("left"), F.floor(F.col("w_begins") / history).alias("near")).where(F.col("left") > 0)
+    told = t.where("own").select("conv", "key", "at", "begins", F.explode(F.array(*(F.floor(F.col("begins") / history) + k for k in (0, 1)))).alias("near"))
+    told = asking.join(told, ["conv", "near"]).where((F.col("at") < F.col("window")) & (F.col("w_begins") - F.col("begins") <= F.col("left")))
+    return found.unionByName(told.select("conv", "key", "at", "window", F.lit(True).alias("again")))
 
 
 def windows(turns: DataFrame, budget: int = 1024, history: int = 256, block: int = 64) -> DataFrame:
     """turns: conv_id, turn, role, text. Returns a row for each window.
 
-    window: number in the conversation; formatted: its text; repeated: how many
+    window: the number of its first own turn in the conversation; formatted: its text; repeated: how many
     of its turns are repeated, at its start; spans: start (from 0) and length, in
     code points, of what is under the loss mask.
     """
@@ -172,21 +210,29 @@ b AS (
     replace(replace(coalesce(text, ''), '\', '\\'), '<|', '<\|') AS body,
     replace(replace(replace(coalesce(role, ''), '\', '\\'), '<|', '<\|'), chr(10), '<\n') AS role_out FROM a),
 c AS (
-  SELECT *, (length(body) + 3) // 4 + 4 AS tokens, length(body) + length(role_out) + 24 AS chars,
+  SELECT *, (length(body) + 3) // 4 + 4 AS size, length(body) + length(role_out) + 24 AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, md5(concat_ws(chr(10), coalesce(CAST(turn AS VARCHAR), ''), role_out, body))) - 1 AS pos FROM b),
-d AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM c),
-e AS (SELECT *, begins // 1024 AS win FROM d),
-w AS (SELECT conv_id, win, min(pos) AS w_pos, min(begins) AS w_begins FROM e GROUP BY 1, 2),
-s AS (SELECT conv_id, min(pos) AS s_pos, arg_min(chars, pos) AS s_chars FROM e WHERE role = 'system' GROUP BY 1),
+s AS (SELECT conv_id, min(pos) AS s_pos, arg_min(chars, pos) AS s_chars, arg_min(size, pos) AS s_size FROM c WHERE role = 'system' GROUP BY 1),
+d AS (
+  SELECT c.*, s_pos, coalesce(s_size, 0) AS s_size, greatest(1024 - 256 - coalesce(s_size, 0), 1) AS room,
+    coalesce(c.pos = s_pos, FALSE) AS is_system, CASE WHEN c.pos = s_pos THEN 0 ELSE size END AS tokens
+  FROM c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id),
+e AS (
+  SELECT *, NOT is_system AND tokens > room / 2e0 AS is_long, room - max(CASE WHEN tokens <= room / 2e0 THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS cell FROM d),
+g AS (
+  SELECT *, coalesce(sum(tokens) OVER p, 0)::BIGINT AS begins, coalesce(sum(CASE WHEN is_long THEN 0 ELSE tokens END) OVER p, 0)::BIGINT AS short_begins,
+    (coalesce(sum(is_long::INT) OVER p, 0) + is_long::INT)::BIGINT AS after FROM e
+  WINDOW p AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN is_long THEN -1 ELSE short_begins // cell END AS in_cell FROM g),
+w AS (SELECT conv_id, after, in_cell, min(pos) AS w_pos, min(begins) AS w_begins, least(256, 1024 - any_value(s_size) - sum(tokens)) AS w_left FROM t GROUP BY 1, 2, 3),
 extra AS (
   SELECT w.conv_id, s_chars AS chars FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s_pos < w_pos
   UNION ALL
-  SELECT e.conv_id, e.chars FROM w JOIN e ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND e.win = w.win - 1 AND w_begins - e.begins <= 256
-  LEFT JOIN s ON e.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s_pos IS NULL OR e.pos <> s_pos),
+  SELECT t.conv_id, t.chars FROM w JOIN t ON w.conv_id IS NOT DISTINCT FROM t.conv_id WHERE NOT t.is_system AND t.pos < w_pos AND w_left > 0 AND w_begins - t.begins <= w_left),
 x AS (SELECT conv_id, sum(chars) AS chars FROM extra GROUP BY 1),
 f AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
-    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learnt, sum(chars) AS chars FROM e GROUP BY 1)
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learnt, sum(chars) AS chars FROM t GROUP BY 1)
 SELECT f.conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(f.chars + coalesce(x.chars, 0) AS BIGINT) AS formatted_chars
 FROM f LEFT JOIN x ON f.conv_id IS NOT DISTINCT FROM x.conv_id
 """

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -37,14 +38,77 @@ def test_read_back(spark):
         ), conv
 
 
+def cost(text):
+    return (len(text) + 3) // 4 + 4
+
+
+def segments(formatted):
+    """Role and escaped text of each turn."""
+    return [tuple(x.removesuffix("<|im_end|>\n").split("\n", 1)) for x in formatted.split("<|im_start|>")[1:]]
+
+
+def long_talks():
+    rng = random.Random(8)
+    word = lambda n: "word " * n + str(rng.randrange(10**6))
+    out = [(1, k, "assistant" if k % 2 else "user", word(60)) for k in range(90)]
+    out += [(2, 0, "system", "Rules <|")] + [(2, k, "assistant" if k % 2 else "user", word(rng.choice([0, 5, 60, 200, 350, 900]))) for k in range(1, 90)]
+    out += [(3, k, "system" if k == 4 else "user", word(rng.randint(0, 80))) for k in range(40)]  # its system turn is not the first
+    out += [(4, 0, "system", word(500))] + [(4, k, "assistant", word(rng.randint(0, 60))) for k in range(1, 30)]  # hardly any room
+    out += [(5, 1, "assistant", "again")] * 100 + [(5, 0, "system", "s")] * 3  # equal rows
+    return out
+
+
+def expected_windows(turns, budget, history):
+    """Rows of one conversation in order. Windows as (own turns, turns repeated), by loops."""
+    first = next((k for k, (role, _) in enumerate(turns) if role == "system"), None)
+    system = cost(turns[first][1]) if first is not None else 0
+    room = max(1, budget - history - system)
+    sizes = [0 if k == first else cost(text) for k, (_, text) in enumerate(turns)]
+    longest = max([n for n in sizes if 2 * n <= room], default=0)
+    windows, last, short, longs = [], None, 0, 0
+    for k, n in enumerate(sizes):
+        if 2 * n > room:
+            longs += 1
+            name = longs, None
+        else:
+            name = longs, short // (room - longest)
+            short += n
+        if name != last:
+            windows.append([])
+            last = name
+        windows[-1].append(k)
+    out = []
+    for own in windows:
+        left = min(history, budget - system - sum(sizes[k] for k in own))
+        told = [k for k in range(own[0]) if k != first and left > 0 and sum(sizes[k : own[0]]) <= left]
+        out.append((own, sorted(told + ([first] if first is not None and first < own[0] else []))))
+    return out
+
+
 def test_windows_keep_budget_system_turn_and_history(spark):
-    found = sorted(chat.windows(talks(spark, rows()), budget=500, history=200, block=8).where("conv_id = 2").collect(), key=lambda r: r.window)
-    assert len(found) > 5 and found[0].repeated == 0
-    for r in found[1:]:
-        assert r.formatted.startswith("<|im_start|>system\nRules <\\|<|im_end|>\n") and r.repeated >= 2
-        assert all(s.start >= len("".join(x + "<|im_end|>\n" for x in r.formatted.split("<|im_end|>\n")[: r.repeated])) for s in r.spans)
-    turns = sum(r.formatted.count("<|im_start|>") - r.repeated for r in found)
-    assert turns == 90
+    budget, history = 500, 120
+    rows = long_talks()
+    found = chat.windows(talks(spark, rows), budget=budget, history=history, block=8).collect()
+    for conv in range(1, 6):
+        order = spark.createDataFrame([(r[1], r[2], r[3]) for r in rows if r[0] == conv], "turn long, role string, text string").withColumn("body", chat.escape(F.col("text")))
+        order = order.orderBy("turn", "role", chat.turn_key(F.col("turn"), F.col("role"), F.col("body"))).collect()
+        turns = [(r.role, r.body) for r in order]
+        mine = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.window)
+        expected = expected_windows(turns, budget, history)
+        assert [r.window for r in mine] == [own[0] for own, _ in expected] and len(mine) > 3 - 2 * (conv == 5)
+        for r, (own, told) in zip(mine, expected, strict=True):
+            said = segments(r.formatted)
+            assert said == [turns[k] for k in told + own] and r.repeated == len(told)
+            n = sum(cost(text) for _, text in said)
+            assert n <= budget or len(own) == 1 and r.repeated <= 1
+            learnt = [r.formatted[s.start : s.start + s.length] for s in r.spans]
+            assert learnt == [turns[k][1] for k in own if turns[k][0] == "assistant"]
+    assert sum(len(segments(r.formatted)) - r.repeated for r in found) == len(rows)
+
+
+def test_no_history(spark):
+    found = chat.windows(talks(spark, [(1, k, "user", "word " * 60) for k in range(20)]), budget=200, history=0).collect()
+    assert len(found) > 5 and all(r.repeated == 0 for r in found)
 
 
 def test_escapes_come_back(spark):
