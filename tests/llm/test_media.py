@@ -6,6 +6,7 @@ import tarfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.llm import media
 from fathom.llm.storage import fresh_path
@@ -14,9 +15,10 @@ from .conftest import table
 
 
 def test_round_trip(spark, documents):
-    index = media.store_payloads(table(spark, documents).repartition(3), fresh_path(spark, "media"), shard_bytes=4000)
-    found = media.read_features(media.fill_metadata(index)).collect()
+    rows, members = media.store_payloads(table(spark, documents).repartition(3), fresh_path(spark, "media"), shard_bytes=4000)
+    found = rows.join(media.read_features(media.fill_metadata(members)), "key").collect()
     assert len(found) == len(documents) and len({r.shard for r in found}) > 3
+    assert len({(r.shard, r.offset) for r in found}) == len({r.digest for r in found}) == members.count()
     texts = {(i, len((t or "").encode())): t or "" for i, t, _, _ in documents}
     for r in found:
         payload = media.payload_of(texts[r.doc_id, r.n_bytes])
@@ -30,21 +32,27 @@ def test_round_trip(spark, documents):
             assert member.name == hashlib.sha256(tar.extractfile(member).read()).hexdigest() + ".png"
 
 
-def test_equal_payloads_are_stored_once_and_no_rows_make_no_shard(spark, tmp_path):
-    docs = table(spark, [(k, "same text", "en", "a") for k in range(50)]).coalesce(1)
-    index = media.store_payloads(docs, str(tmp_path / "one"))
-    assert index.select("shard", "offset").distinct().count() == 1
-    assert media.store_payloads(table(spark, []), str(tmp_path / "none")).count() == 0
+def test_equal_payloads_are_stored_once_over_all_tasks(spark, tmp_path):
+    docs = table(spark, [(k, "same text" if k % 2 else f"text {k % 10}", "en", "a") for k in range(80)] + [(None, None, None, None), (1, "", None, None), (2, "own", None, None)])
+    rows, members = media.store_payloads(docs.repartition(4), str(tmp_path / "one"))
+    assert rows.count() == 83 and members.count() == members.select("shard", "offset").distinct().count() == 8
+    names = [m.name for path in (tmp_path / "one").glob("*.tar") for m in tarfile.open(path).getmembers()]
+    assert len(names) == len(set(names)) == 8
+    found = rows.join(members, "key").groupBy("key").agg(F.count_distinct("shard", "offset").alias("n")).collect()
+    assert len(found) == 8 and all(r.n == 1 for r in found)
+
+
+def test_no_rows_make_no_shard(spark, tmp_path):
+    rows, members = media.store_payloads(table(spark, []), str(tmp_path / "none"))
+    assert rows.count() == members.count() == 0 and media.read_features(media.fill_metadata(media.spread_index(members))).count() == 0
     assert not list((tmp_path / "none").glob("*")) if (tmp_path / "none").exists() else True
 
 
-def test_spreading_keeps_the_index(spark, documents, tmp_path):
-    index = media.store_payloads(table(spark, documents).repartition(3), fresh_path(spark, "media"), shard_bytes=4000)
-    spread = media.spread_index(index, piece_bytes=3000)
+def test_spreading_keeps_the_members(spark, documents):
+    members = media.store_payloads(table(spark, documents).repartition(3), fresh_path(spark, "media"), shard_bytes=4000)[1]
+    spread = media.spread_index(members, piece_bytes=3000)
     assert spread.rdd.getNumPartitions() > 3
-    assert sorted(map(repr, spread.collect())) == sorted(map(repr, index.collect()))
-    empty = media.store_payloads(table(spark, []), str(tmp_path / "none"))
-    assert media.spread_index(empty).count() == 0
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, members.collect()))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
