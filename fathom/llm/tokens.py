@@ -77,7 +77,7 @@ class ChunkEncoder:
     once and kept; of ``max_entries`` chunks the half that was used last stays.
     """
 
-    def __init__(self, path: str, max_entries: int = 600_000):
+    def __init__(self, path: str, max_entries: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -227,7 +227,7 @@ def _made_for_chunks(path: str) -> bool:
     )
 
 
-def encoder(path: str, max_entries: int = 600_000) -> ChunkEncoder | PlainEncoder:
+def encoder(path: str, max_entries: int = 300_000) -> ChunkEncoder | PlainEncoder:
     """One for each file and process: workers keep it from task to task. Other tokenizers than ``ChunkEncoder``'s kind encode whole texts."""
     if (path, max_entries) not in _encoders:
         _encoders[path, max_entries] = ChunkEncoder(path, max_entries) if _made_for_chunks(path) else PlainEncoder(path)
@@ -243,7 +243,7 @@ def counts(path: str, texts: pa.Array) -> np.ndarray:
     return np.diff(encoder(path).encode(texts, 0)[1]) - 1
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that the texts of a slice have about most_bytes at most."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
