@@ -11,9 +11,10 @@ is no letter parts words and is never a feature, so digits, marks and markup
 don't matter.
 
 Defined results: ``und`` with score 0 for a null text and one without a letter;
-null languages aren't learned; repeated rows are predicted alike; ties go to the
-language that sorts first; without any labelled row everything is ``und``.
-Columns that the operator doesn't use may have any name.
+rows with a null language or a null id aren't learned; repeated rows are predicted
+alike; ties go to the language that sorts first; without any labelled row
+everything is ``und``; an empty table gives no rows. Columns that the operator
+doesn't use may have any name; those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -134,9 +135,11 @@ def _sums(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 def train(docs: DataFrame, most_rows: int = 1000, most_languages: int = 256) -> Model:
     """docs: doc_id, text, lang. Learns from the ``most_rows`` rows of each language whose ids hash lowest.
 
-    That bound and ``most_languages`` (the most frequent ones) bound the sample;
-    of each language only its n-gram sums reach the driver, each once.
+    That bound and ``most_languages`` (the most frequent ones, the limit of what a
+    model tells apart; others are never predicted) bound the sample; of each
+    language only its n-gram sums reach the driver, each once.
     """
+    docs = docs.select("doc_id", "text", "lang")
     labelled = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang")
     often = [tuple(r) for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
     if not often:
@@ -170,15 +173,20 @@ SCHEMA = "lang_pred string, score double, ambiguous boolean"
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs: text and any other columns. Adds lang_pred, score and ambiguous. The model's size doesn't depend on the data."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    results = ("lang_pred", "score", "ambiguous")
+    fields = [f for f in docs.schema if f.name.lower() not in results]
+    # Names of our own on the way, as those of docs may be such that Arrow functions don't take.
+    plain = docs.select(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(fields)))
+    text = next(k for k, f in enumerate(fields) if f.name == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column("text")]
+            found = [shared.value.predict(t.as_py()) for t in batch.column(text)]
             columns = [pa.array([f[i] for f in found], type=kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *results])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(run), f"{kept}, {SCHEMA}")
+    kept = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields))
+    return plain.mapInArrow(tidy(run), f"{kept}, {SCHEMA}").toDF(*(f.name for f in fields), *results)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, range string, start string, node string, hub string, window string, size string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, range string, start string, node string, hub string, window string, size string, score string, lang_pred string, ambiguous string, s_id string, s_lang string, m_id string, m_copies string, m_copy string, place string, part string, c1 string, d_name string"
 WORDS = "the of and river stone light under carry morning window garden paper silver quiet follow answer distant market letter travel".split()
 
 
@@ -14,7 +14,7 @@ def prose(rng: random.Random, n: int) -> str:
 
 def table(spark, rows):
     """documents with columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), *["x"] * 7) for i, t, lang, s in rows], COLUMNS)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), *["x"] * 19) for i, t, lang, s in rows], COLUMNS)
 
 
 @pytest.fixture(scope="session")

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark, documents, tmp_path):
     folder = str(tmp_path)
-    docs = table(spark, documents)
+    docs = table(spark, documents).withColumnsRenamed({"hub": "mixed.case", "node": "Text_", "c1": "d_kept", "key": "extra3"})
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     ids = lambda df: sorted(str(r.doc_id) for r in df.select("doc_id").collect())
@@ -33,7 +33,14 @@ def test_stages(spark, documents, tmp_path):
             assert 1.2 * words(before) < words(found) < 1.8 * words(before)
     pieces = corpus_pipeline.STAGES[-1][1](spark, found, folder)
     assert set(ids(pieces)) == set(ids(found))
-    assert ids(corpus_pipeline.run(spark, folder)) == ids(pieces)
+    # Where documents are cut depends on their partitions.
+    assert ids(corpus_pipeline.run(spark, folder).where("start = 0")) == ids(pieces.where("start = 0"))
+
+
+def test_empty_tables(spark, tmp_path):
+    table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_one_row_of_each_component(spark, documents):
