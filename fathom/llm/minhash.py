@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fingerprint import VALUE, powers
+from .fingerprint import segment_sums
 from .graph import components
 from .memory import tidy
 from .storage import materialise
@@ -63,9 +63,7 @@ def shingles(text: str | None, width: int = 4) -> np.ndarray:
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    up, down = powers(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(VALUE[raw] * up[: len(raw)], dtype=np.uint64)))
-    words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = _mix(segment_sums(raw, starts, ends) + (ends - starts).astype(np.uint64))
     n = max(1, len(words) - width + 1)
     found = np.full(n, min(len(words), width), dtype=np.uint64)
     for k in range(min(len(words), width)):
