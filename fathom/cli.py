@@ -63,8 +63,7 @@ def _static(spark: SparkSession, paths: list[str]):
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "index":
         lines = readers.read_lines(spark, *args.input)
-        built = ix.build_index(lines, args.type, args.df_cutoff, args.reverse, args.vectors)
-        ix.save_index(built, args.index, args.partitions)
+        ix.create_index(lines, args.index, args.type, args.df_cutoff, args.reverse, args.vectors, args.partitions)
     elif args.command == "retrieve":
         index, began = ix.load_index(spark, args.index), time.time()
         spec, paths = readers.parse_features(_file(spark, args.features)) if args.features else ([], [])
@@ -72,9 +71,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         docnos = readers.read_docnos(spark, args.docnos) if args.docnos else None
         queries = readers.read_queries(spark, args.query)
         kind, found = retrieve(index, queries, args.algorithm, args.hits, spec, _static(spark, paths), model, args.hashes)
-        lines = sinks.run_lines(found, docnos, args.tag) if kind == "run" else sinks.vector_lines(found) if kind == "vectors" else sinks.set_lines(found, docnos)
+        lines = sinks.run_lines(found, docnos, args.tag) if kind == "run" else sinks.vector_lines(found, docnos) if kind == "vectors" else sinks.set_lines(found, docnos)
         if args.output:
-            sinks.write_lines(lines, args.output, ["qid", "rank"] if kind == "run" else None)
+            sinks.write_lines(lines, args.output, ["qid", "rank"] if kind == "run" else ["qid", "docid"])
         else:
             lines.write.format("noop").mode("overwrite").save()
         print(f"{time.time() - began:.3f} s for {queries.select('qid').distinct().count()} queries")

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import scoring
+from fathom.functions.ranges import number
 from fathom.functions.tokenize import tokens
 
 DF_CUTOFF = 9
@@ -103,30 +104,54 @@ def term_stats(postings: DataFrame, stats: DataFrame) -> DataFrame:
 def dictionary(vectors: DataFrame) -> DataFrame:
     """termid, term: numbered from 0 in the order in which terms are first seen.
 
-    Documents are numbered in ranges: each range's new terms are counted first,
-    so no task sorts all terms.
+    Terms are numbered in ranges of documents with about as many new terms each, so
+    no task sorts all terms.
     """
     found = vectors.select("docid", F.posexplode("terms").alias("pos", "term"))
     first = found.groupBy("term").agg(F.min(F.struct("docid", "pos")).alias("at")).select("term", "at.docid", "at.pos")
-    first = first.withColumn("range", F.floor(F.col("docid") / 4096))
-    sizes = first.groupBy("range").agg(F.count("*").alias("n"))
-    # A row for each 4096 documents.
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("range").orderBy("docid", "pos")
-    return first.join(starts, "range").select((F.col("start") + F.row_number().over(order) - 1).alias("termid"), "term")
+    return number(first, "docid", "pos").select((F.col("at") - 1).alias("termid"), "term")
 
 
-def save_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Writes the tables. Postings are ordered by term and document over all files, so a term's are found by the files' statistics."""
+def _write_postings(index: Index, path: str, partitions: int | None) -> None:
+    """Postings are ordered by term and document over all files, so a term's are found by the files' statistics."""
     n = [partitions] if partitions else []
     order = F.col("docid").desc() if index.reverse else F.col("docid").asc()
     index.postings.repartitionByRange(*n, "term", "docid").sortWithinPartitions("term", order).write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def _write_meta(index: Index, path: str) -> None:
+    row = [(index.index_type, index.df_cutoff, index.reverse, index.doc_vectors is not None)]
+    index.spark.createDataFrame(row, "index_type string, df_cutoff int, reverse boolean, vectors boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def create_index(
+    vectors: DataFrame, path: str, index_type: str = "positional", df_cutoff: int = DF_CUTOFF, reverse: bool = False, with_vectors: bool = True,
+    partitions: int | None = None,
+) -> Index:
+    """Builds and saves an index. vectors (docid, terms) is read once; each table is made of those that are written before it."""
+    spark, kept = vectors.sparkSession, f"{path}/{'doc_vectors' if with_vectors else '_vectors'}"
+    vectors.select("docid", "terms").write.mode("overwrite").parquet(kept)
+    built = build_index(spark.read.schema("docid long, terms array<string>").parquet(kept), index_type, df_cutoff, reverse, with_vectors)
+    built.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    collection_stats(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/stats")
+    _write_postings(built, path, partitions)
+    # Without term frequencies in the postings the statistics count the vectors again.
+    terms = built.term_stats if index_type == "docids" else term_stats(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+    terms.write.mode("overwrite").parquet(f"{path}/term_stats")
+    _write_meta(built, path)
+    if not with_vectors:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return load_index(spark, path)
+
+
+def save_index(index: Index, path: str, partitions: int | None = None) -> None:
+    """Writes the tables of an index that are tables already; see ``create_index`` for a new one."""
+    _write_postings(index, path, partitions)
     for name in ("term_stats", "doc_stats", "stats", "doc_vectors"):
         if (table := getattr(index, name)) is not None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
-    row = [(index.index_type, index.df_cutoff, index.reverse, index.doc_vectors is not None)]
-    index.spark.createDataFrame(row, "index_type string, df_cutoff int, reverse boolean, vectors boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    _write_meta(index, path)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
@@ -137,6 +162,8 @@ def load_index(spark: SparkSession, path: str) -> Index:
 
 def compact(spark: SparkSession, source: str, target: str, partitions: int | None = None) -> Index:
     """Rewrites an index that has many small files; its content, collection frequencies included, stays."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("an index can't be rewritten in its own place")
     save_index(load_index(spark, source), target, partitions)
     return load_index(spark, target)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.tokenize import tokens
-from fathom.plans.index import Index, build_index, load_index, save_index, tokenized
+from fathom.plans.index import Index, create_index, load_index, tokenized
 
 _saved: dict[tuple[str, str, str], str] = {}
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir`` (or one of our own where that is unset), deleted when the driver ends."""
+    """A new path in the folder of ``spark.checkpoint.dir``, deleted when the driver ends; one of our own where that is unset and all tasks are this machine's."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fathom-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -36,7 +39,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Index:
     key = spark.sparkContext.applicationId, sf_dir, "documents"
     if key not in _saved:
         path = scratch(spark, "index")
-        save_index(build_index(documents(spark, sf_dir)), path)
+        create_index(documents(spark, sf_dir), path)
         _saved[key] = path
     return load_index(spark, _saved[key])
 

@@ -37,9 +37,11 @@ class StreamIndex:
         """vectors: docid, terms. Documents that an earlier batch brought are left out, and repeats within the batch."""
         known = self._read("doc_stats").where(F.col("batch") != batch).select("docid")
         new = vectors.join(known, "docid", "left_anti").groupBy("docid").agg(F.min("terms").alias("terms"))
-        built = build_index(new, df_cutoff=self.df_cutoff)
-        for table in TABLES:  # the lengths last but one: what they name is there
-            getattr(built, table).write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
+        at = lambda table: f"{self.path}/{table}/batch={batch}"
+        new.select("docid", "terms").write.mode("overwrite").parquet(at("doc_vectors"))
+        built = build_index(self.spark.read.schema(SCHEMAS["doc_vectors"]).parquet(at("doc_vectors")), df_cutoff=self.df_cutoff)
+        for table in ("postings", "doc_stats"):  # the lengths last: what they name is there
+            getattr(built, table).write.mode("overwrite").parquet(at(table))
 
     def snapshot(self) -> Index:
         postings, docs, vectors = (self._read(t).drop("batch") for t in TABLES)
