@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.ranges import number
 from fathom.functions.tokenize import tokens, words
 from fathom.operators.features import Feature
 from fathom.operators.rerank import Node
@@ -20,8 +21,12 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """at (from 0), value: a small file's lines in order."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("at", "value"))
+    """at (from 0), value: a file's lines in order. Splits of the file are counted first, so a long one is read by many tasks."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = lines.groupBy("split").agg(F.count("*").alias("n")).select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("split").orderBy("line"))
+    return lines.join(F.broadcast(starts), "split").select((F.col("start") + within - 1).alias("at"), "value")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -123,18 +128,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def parse_messages(messages: DataFrame, id_column: str = "id", text_column: str = "text") -> DataFrame:
-    """docid, terms of short messages, numbered from 1 in the order of their ids; a message without tokens leaves a gap.
-
-    Numbers are counted in two steps, in ranges of ids and within them.
-    """
-    from pyspark.sql import Window
-
+    """docid, terms of short messages, numbered from 1 in the order of their ids; a message without tokens leaves a gap."""
     m = messages.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), tokens(F.col(text_column)).alias("terms"))
-    m = m.withColumn("range", F.floor(F.col("id") / 4096))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 4096 ids
-    starts = m.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    at = F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy("id"))
-    return m.join(starts, "range").select(at.alias("docid"), "terms").where(F.size("terms") > 0)
+    return number(m, "id", name="docid").select("docid", "terms").where(F.size("terms") > 0)
 
 
 def read_tweets(spark: SparkSession, path: str) -> DataFrame:
@@ -142,24 +138,28 @@ def read_tweets(spark: SparkSession, path: str) -> DataFrame:
     return parse_messages(spark.read.schema("id long, text string").json(path))
 
 
-
-def read_archive(spark: SparkSession, path: str, docnos: DataFrame | None = None) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, docnos: DataFrame | None = None, kind: str | None = None) -> DataFrame:
     """docid, terms from WARC or TREC-web files, plain or gzipped, in any depth of folders.
 
-    A record is found by a line that starts it, so files are read in records and
-    not whole. The number comes from docnos (docid, docno) or, without, is the
-    number in the record's own id.
+    kind: warc or trec, for all files; without, as the first line of one of them
+    says. A record is found by the line that starts it, so files are read once, in
+    records and not whole. The number comes from docnos (docid, docno) or, without,
+    is the number in the record's own id.
     """
-    records = []
-    for separator in ("WARC/", "<DOC>"):
-        raw = spark.read.option("lineSep", f"\n{separator}").option("recursiveFileLookup", "true").text(path).select(F.col("value").alias("r"))
-        records.append(raw.where(F.col("r").contains("WARC-TREC-ID:") if separator == "WARC/" else F.col("r").contains("<DOCNO>")).where(~F.col("r").contains("\n" + separator)))
-    warc, trec = records
-    warc = warc.select(F.trim(F.regexp_extract("r", r"(?m)^WARC-TREC-ID:\s*(\S+)", 1)).alias("docno"), F.regexp_replace("r", r"(?s)^.*?\r?\n\r?\n(HTTP/.*?\r?\n\r?\n)?", "").alias("html"))
-    trec = trec.select(F.trim(F.regexp_extract("r", r"<DOCNO>\s*(\S+?)\s*</DOCNO>", 1)).alias("docno"), F.regexp_replace("r", r"(?s)^.*?</DOCHDR>|^.*?</DOCNO>|</DOC>\s*$", "").alias("html"))
-    both = warc.unionByName(trec).where(F.col("docno") != "")
+    files = spark.read.option("recursiveFileLookup", "true")
+    if kind is None:
+        first = files.text(path).where(F.trim("value") != "").first()
+        kind = "warc" if first and first[0].startswith("WARC/") else "trec"
+    if kind not in ("warc", "trec"):
+        raise ValueError("kind must be warc or trec")
+    raw = files.option("lineSep", "\nWARC/" if kind == "warc" else "\n<DOC>").text(path).select(F.col("value").alias("r"))
+    if kind == "warc":
+        found = raw.select(F.trim(F.regexp_extract("r", r"(?m)^WARC-TREC-ID:\s*(\S+)", 1)).alias("docno"), F.regexp_replace("r", r"(?s)^.*?\r?\n\r?\n(HTTP/.*?\r?\n\r?\n)?", "").alias("html"))
+    else:
+        found = raw.select(F.trim(F.regexp_extract("r", r"<DOCNO>\s*(\S+?)\s*</DOCNO>", 1)).alias("docno"), F.regexp_replace("r", r"(?s)^.*?</DOCHDR>|^.*?</DOCNO>|</DOC>\s*$", "").alias("html"))
+    found = found.where(F.col("docno") != "")
     if docnos is not None:
-        both = both.join(docnos, "docno")
+        found = found.join(docnos, "docno")
     else:
-        both = both.withColumn("docid", F.regexp_replace("docno", r"\D+", "").try_cast("long"))
-    return parse_pages(both.select((F.col("docid") - 1).alias("page_id"), "html"))
+        found = found.withColumn("docid", F.regexp_replace("docno", r"\D+", "").try_cast("long"))
+    return parse_pages(found.select((F.col("docid") - 1).alias("page_id"), "html"))

@@ -14,17 +14,17 @@ def with_docno(found: DataFrame, docnos: DataFrame | None) -> DataFrame:
 
 
 def set_lines(found: DataFrame, docnos: DataFrame | None = None) -> DataFrame:
-    return with_docno(found, docnos).select(F.concat_ws(" ", "qid", "docno").alias("line"))
+    return with_docno(found, docnos).select("qid", "docid", F.concat_ws(" ", "qid", "docno").alias("line"))
 
 
 def fixed(value: Column, digits: int = 6) -> Column:
     return F.format_string(f"%.{digits}f", value.cast("double"))
 
 
-def vector_lines(vectors: DataFrame) -> DataFrame:
+def vector_lines(vectors: DataFrame, docnos: DataFrame | None = None) -> DataFrame:
     names = sorted((c for c in vectors.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     parts = [F.concat(F.lit(f"{i}:"), fixed(F.col(c))) for i, c in enumerate(names, 1)]
-    return vectors.select("qid", "docid", F.concat_ws(" ", "qid", "docid", *parts).alias("line"))
+    return with_docno(vectors, docnos).select("qid", "docid", F.concat_ws(" ", "qid", "docno", *parts).alias("line"))
 
 
 def run_lines(ranked: DataFrame, docnos: DataFrame | None = None, tag: str = "fathom") -> DataFrame:

@@ -104,3 +104,33 @@ def test_document_lines_come_back(spark, tmp_path):
     docs = spark.createDataFrame([(2, ["b", "c"]), (1, ["a"])], "docid long, terms array<string>")
     sinks.write_documents(docs, str(tmp_path / "out"), 2)
     assert {r.docid: r.terms for r in readers.read_lines(spark, str(tmp_path / "out")).collect()} == {1: ["a"], 2: ["b", "c"]}
+
+
+def test_lines_of_many_splits_are_numbered_in_order(spark, tmp_path):
+    path = write(tmp_path / "long", "".join(f"D-{k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 3
+        found = readers.read_docnos(spark, path)
+        assert sorted(map(tuple, found.collect())) == [(k + 1, f"D-{k}") for k in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_records_are_rows(spark, tmp_path):
+    warc = "".join(f"WARC/0.18\r\nWARC-Type: response\r\nWARC-TREC-ID: cw-{n}\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>word{n} the\n<DOC> x</p>\n" for n in range(300))
+    with gzip.open(tmp_path / "a.warc.gz", "wt", newline="") as f:
+        f.write(warc)
+    found = {r.docid: r.terms for r in readers.read_archive(spark, str(tmp_path / "a.warc.gz"), kind="warc").collect()}
+    assert found == {n: [f"word{n}", "the", "x"] for n in range(300)}
+    lines = spark.read.option("lineSep", "\nWARC/").text(str(tmp_path / "a.warc.gz"))
+    assert lines.count() == 300
+
+
+def test_outputs_name_documents_and_are_in_order(spark, tmp_path):
+    docnos = spark.createDataFrame([(1, "N1"), (2, "N2")], "docid long, docno string")
+    vectors = spark.createDataFrame([(1, 2, 0.5), (1, 1, 1.0), (1, 3, 2.0)], "qid int, docid long, f1 double")
+    found = sinks.vector_lines(vectors, docnos)
+    assert sorted(r.line for r in found.collect()) == ["1 3 1:2.000000", "1 N1 1:1.000000", "1 N2 1:0.500000"]
+    sinks.write_lines(sinks.set_lines(vectors), str(tmp_path / "set"), ["qid", "docid"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "set")).collect()] == ["1 1", "1 2", "1 3"]
