@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scoring
-from fathom.operators.access import postings_for, rarest, resolve
+from fathom.operators.access import postings_for, postings_of, rarest, resolve
 from fathom.plans.index import Index
 
 HITS = 1000
@@ -32,12 +32,20 @@ def _best(scored: DataFrame, index: Index, hits: int) -> DataFrame:
 
 
 def conjunction(index: Index, queries: DataFrame, hits: int | None = None) -> DataFrame:
-    """qid, docid: the documents that hold all of a query's terms that can be searched for."""
-    asked = resolve(index, queries).select("qid", "term").distinct()
+    """qid, docid: the documents that hold all of a query's terms that can be searched for.
+
+    Only the postings of documents that hold some query's rarest term are joined
+    with the queries, so a frequent term costs one look at its postings.
+    """
+    asked = resolve(index, queries)
+    low = rarest(asked).select("qid", "term")
+    asked = asked.select("qid", "term").distinct()
     asked = asked.withColumn("n", F.count("*").over(Window.partitionBy("qid")))
-    found = asked.join(postings_for(index, asked, "docid"), "term")
-    all_of = found.groupBy("qid", "docid").agg(F.count("*").alias("seen"), F.first("n").alias("n")).where(F.col("seen") == F.col("n"))
-    return _first(all_of.select("qid", "docid"), index, hits)
+    postings = postings_for(index, asked, "docid")
+    rare = low.join(postings, "term").select("qid", "docid")
+    near = postings.join(asked.select("term").distinct(), "term", "left_semi").join(rare.select("docid").distinct(), "docid", "left_semi")
+    seen = asked.join(near, "term").groupBy("qid", "docid").agg(F.count("*").alias("seen"), F.first("n").alias("n"))
+    return _first(seen.where(F.col("seen") == F.col("n")).select("qid", "docid"), index, hits)
 
 
 def semi_conjunction(index: Index, queries: DataFrame, hits: int | None = None) -> DataFrame:
@@ -45,17 +53,19 @@ def semi_conjunction(index: Index, queries: DataFrame, hits: int | None = None)
     asked = resolve(index, queries)
     low = rarest(asked).select("qid", F.col("term").alias("rare"))
     others = asked.join(low, "qid").where(F.col("term") != F.col("rare")).select("qid", "term").distinct()
-    found = low.select("qid", F.col("rare").alias("term")).join(postings_for(index, low.select(F.col("rare").alias("term")), "docid"), "term").select("qid", "docid")
+    postings = postings_for(index, asked, "docid")
+    found = low.select("qid", F.col("rare").alias("term")).join(postings, "term").select("qid", "docid")
     wanted = others.groupBy("qid").agg(F.count("*").alias("n"))
-    has = others.join(postings_for(index, others, "docid"), "term").join(found, ["qid", "docid"], "left_semi")
+    near = postings.join(others.select("term").distinct(), "term", "left_semi").join(found.select("docid").distinct(), "docid", "left_semi")
+    has = others.join(near, "term").join(found, ["qid", "docid"], "left_semi")
     seen = has.groupBy("qid", "docid").agg(F.count("*").alias("seen"))
     kept = found.join(wanted, "qid", "left").join(seen, ["qid", "docid"], "left").where(F.coalesce("n", F.lit(0)) == F.coalesce("seen", F.lit(0)))
     return _first(kept.select("qid", "docid"), index, hits)
 
 
 def intersection(index: Index, left: str, right: str) -> DataFrame:
-    """docid of the documents with both terms."""
-    of = lambda t: index.postings.where(F.col("term") == t).select("docid")
+    """docid of the documents with both terms; a term that can't be searched for has none."""
+    of = lambda t: postings_of(index, t).select("docid")
     return of(left).join(of(right), "docid", "left_semi")
 
 

@@ -7,6 +7,7 @@ neighbouring query terms are compared by their positions in the document.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,22 +35,40 @@ class Feature:
             raise ValueError(f"unknown feature: {self.scorer} {self.kind}")
 
 
+def window_counts(left: Column, right: Column, kinds: Sequence[tuple[str, int]]) -> Column:
+    """A struct of one count for each kind (OD and a gap, UW and a window), all from one pass over both terms' positions.
+
+    OD: positions of the left term that the right one follows by at most gap + 1.
+    UW: for each position of the left term, all of the right one's since its last
+    and within the span before it, and one after it; a span has twice ``window`` tokens.
+
+    Positions are merged and walked from the end, so each one's distance to the
+    next of the other term is at hand: a left position counts forward by that, a
+    right one backward, unless it is a left position itself.
+    """
+    merged = F.reverse(F.array_sort(F.concat(F.transform(left, lambda p: 2 * p + 1), F.transform(right, lambda n: 2 * n))))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("left"), zero.alias("right"), *(zero.alias(f"n{k}") for k in range(len(kinds))))
+
+    def onward(acc: Column, x: Column) -> Column:
+        is_left, at = x % 2 == 1, F.floor(x / 2).cast("int")
+        ahead = F.when(is_left, acc["right"]).otherwise(acc["left"]) - at
+        counts = []
+        for k, (kind, size) in enumerate(kinds):
+            most = size + 1 if kind == "OD" else 2 * size - 1
+            hit = ahead.between(1, most) & is_left if kind == "OD" else ahead.between(1, most)
+            counts.append((acc[f"n{k}"] + hit.cast("int")).alias(f"n{k}"))
+        return F.struct(F.when(is_left, at).otherwise(acc["left"]).alias("left"), F.when(is_left, acc["right"]).otherwise(at).alias("right"), *counts)
+
+    return F.aggregate(merged, start, onward)
+
+
 def ordered_count(left: Column, right: Column, gap: int) -> Column:
-    """Positions of the left term that the right one follows by at most gap + 1."""
-    return F.size(F.filter(left, lambda p: F.exists(right, lambda n: (n - p).between(1, gap + 1))))
+    return window_counts(left, right, [("OD", gap)])["n0"]
 
 
 def unordered_count(left: Column, right: Column, window: int) -> Column:
-    """For each position of the left term: all of the right one's since its last and within the span before it, and one after it.
-
-    A span has twice ``window`` tokens.
-    """
-    span = 2 * window
-    last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(left, i))
-    near = lambda p, i: F.size(F.filter(right, lambda n: (n > last(i)) & (n < p) & (p - n + 1 <= span)))
-    after = lambda p: F.exists(right, lambda n: (n > p) & (n - p + 1 <= span)).cast("int")
-    counts = F.transform(left, lambda p, i: near(p, i) + after(p))
-    return F.aggregate(counts, F.lit(0), lambda acc, c: acc + c)
+    return window_counts(left, right, [("UW", window)])["n0"]
 
 
 def _score(f: Feature, count: Column, doc_len: Column, idf: Column, cf: Column) -> Column:
@@ -58,17 +77,27 @@ def _score(f: Feature, count: Column, doc_len: Column, idf: Column, cf: Column)
     return scoring.dirichlet(count, doc_len, cf, F.col("total_len"), f.mu)
 
 
-def expression(f: Feature) -> Column:
-    """Over a row with asked (the query's terms in order), doc_len and the collection's statistics."""
-    zero = F.lit(0.0)
-    if f.kind == "Term":
-        each = F.transform("asked", lambda t: _score(f, t["tf"], F.col("doc_len"), t["idf"], t["cf"]))
-        return F.aggregate(each, zero, lambda acc, x: acc + x)
-    count = (lambda a, b: ordered_count(a, b, f.gap)) if f.kind == "OD" else (lambda a, b: unordered_count(a, b, f.window))
+def _windows(features: Sequence[Feature]) -> list[tuple[str, int]]:
+    """The different windows that the features count."""
+    return sorted({(f.kind, f.gap if f.kind == "OD" else f.window) for f in features if f.kind != "Term"})
+
+
+def neighbours(features: Sequence[Feature]) -> Column:
+    """Over a row with asked: the counts of each two neighbouring terms."""
+    kinds = _windows(features)
     pairs = F.when(F.size("asked") > 1, F.sequence(F.lit(1), F.size("asked") - 1)).otherwise(F.array().cast("array<int>"))
     at = lambda i: F.element_at("asked", i)["positions"]
-    each = F.transform(pairs, lambda i: _score(f, count(at(i), at(i + 1)), F.col("doc_len"), F.col("default_idf"), F.col("default_cf")))
-    return F.aggregate(each, zero, lambda acc, x: acc + x)
+    return F.transform(pairs, lambda i: window_counts(at(i), at(i + 1), kinds))
+
+
+def expression(f: Feature, features: Sequence[Feature]) -> Column:
+    """Over a row with asked (the query's terms in order), pairs (of neighbours), doc_len and the collection's statistics."""
+    if f.kind == "Term":
+        each = F.transform("asked", lambda t: _score(f, t["tf"], F.col("doc_len"), t["idf"], t["cf"]))
+    else:
+        n = "n" + str(_windows(features).index((f.kind, f.gap if f.kind == "OD" else f.window)))
+        each = F.transform("pairs", lambda c: _score(f, c[n], F.col("doc_len"), F.col("default_idf"), F.col("default_cf")))
+    return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def gather(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -87,7 +116,9 @@ def gather(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
 def extract(index: Index, queries: DataFrame, pairs: DataFrame, features: list[Feature], static: DataFrame | None = None) -> DataFrame:
     """qid, docid, f1, f2, … and the columns of static (docid, …), 0 where a document has none."""
     found = gather(index, queries, pairs)
-    found = found.select("qid", "docid", *[expression(f).alias(f"f{i}") for i, f in enumerate(features, 1)])
+    if _windows(features):
+        found = found.withColumn("pairs", neighbours(features))
+    found = found.select("qid", "docid", *[expression(f, features).alias(f"f{i}") for i, f in enumerate(features, 1)])
     if static is not None:
         names = [c for c in static.columns if c != "docid"]
         found = found.join(static, "docid", "left").fillna(0, names)

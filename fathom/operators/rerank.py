@@ -53,11 +53,15 @@ def depth(node: Node) -> int:
 
 def evaluate(trees: Sequence[Node], x: np.ndarray) -> np.ndarray:
     """Sums of the leaves that the rows of x reach; all rows go down a level at a time."""
+    return walk([(flatten(t), depth(t)) for t in trees], x)
+
+
+def walk(flat: Sequence[tuple], x: np.ndarray) -> np.ndarray:
+    """flat: flattened trees and their depths."""
     total, rows = np.zeros(len(x)), np.arange(len(x))
-    for tree in trees:
-        feature, threshold, left, right, value = flatten(tree)
+    for (feature, threshold, left, right, value), levels in flat:
         at = np.zeros(len(x), dtype=int)
-        for _ in range(depth(tree)):
+        for _ in range(levels):
             at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
         total += value[at]
     return total
@@ -72,15 +76,17 @@ def score(vectors: DataFrame, trees: Sequence[Node], most_nodes: int = 400) -> D
             total = total + compile_tree(tree, columns)
         return vectors.withColumn("score", total)
 
+    flat = [(flatten(t), depth(t)) for t in trees]
+
     @F.pandas_udf("double")
     def run(*features: pd.Series) -> pd.Series:
-        return pd.Series(evaluate(trees, np.column_stack([f.to_numpy(dtype=np.float64) for f in features])))
+        return pd.Series(walk(flat, np.column_stack([f.to_numpy(dtype=np.float64) for f in features])))
 
     return vectors.withColumn("score", run(*[F.col(c).cast("double") for c in columns]))
 
 
-def rerank(vectors: DataFrame, trees: Sequence[Node]) -> DataFrame:
-    """qid, docid, score, rank."""
+def rerank(vectors: DataFrame, trees: Sequence[Node], ties: Column | None = None) -> DataFrame:
+    """qid, docid, score, rank; equal scores in the order of ties, by docid if none is given."""
     scored = score(vectors, trees).withColumn("score", F.round("score", 4))
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "docid")
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("docid").asc() if ties is None else ties)
     return scored.withColumn("rank", F.row_number().over(order)).select("qid", "docid", "score", "rank")

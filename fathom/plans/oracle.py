@@ -26,7 +26,7 @@ _STEPS = {
     "nq": "SELECT qid, count(DISTINCT term) AS n FROM q GROUP BY qid",
     "sv": "SELECT qid, docid FROM (SELECT qid, docid, count(*) AS seen FROM (SELECT DISTINCT qid, term FROM q) JOIN tf USING (term) GROUP BY qid, docid) JOIN nq USING (qid) WHERE seen = n",
     "w": "SELECT qid, docid, round(sum(1.5e0 * tf / (0.5e0 * (0.7e0 + 0.3e0 * doc_len / avgdl) + tf) * idf), 4) AS score FROM q JOIN tf USING (term) JOIN dl USING (docid), st GROUP BY qid, docid",
-    "c": "SELECT qid, docid FROM w QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) <= 20",
+    "c": "SELECT qid, docid FROM w QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) <= 100",
     "rare": "SELECT qid, term, df FROM q QUALIFY row_number() OVER (PARTITION BY qid ORDER BY df, ord) = 1",
 }
 del _STEPS["svs"]
@@ -186,13 +186,15 @@ SQL = {
     "resolve_query_terms": _with("SELECT qid, ord, term, df, round(idf, 4) AS idf FROM q", "q"),
     "rarest_term": _with("SELECT qid, term, df FROM rare", "rare"),
     "query_positions": _with(
-        "SELECT qid, term, docid, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM (SELECT qid, docid FROM sv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY docid) <= 5) JOIN (SELECT DISTINCT qid, term FROM lq WHERE pos <= 4) USING (qid) JOIN tok USING (docid, term) GROUP BY qid, term, docid",
+        "SELECT qid, term, docid, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM sv JOIN (SELECT DISTINCT qid, term FROM lq WHERE pos <= 4) USING (qid) JOIN tok USING (docid, term) GROUP BY qid, term, docid",
         "sv", "lq", "tok",
     ),
     "svs_and": _with("SELECT qid, docid FROM sv", "sv"),
     "svs_and_topk": _with(_top.format(""), "sv"),
     "svs_recent": _with(_top.format(" DESC"), "sv"),
-    "intersect_two_terms": _with("SELECT docid FROM tf WHERE term = 'the' INTERSECT SELECT docid FROM tf WHERE term = 'of'", "tf"),
+    "intersect_two_terms": _with(
+        "SELECT docid FROM tf JOIN ts USING (term) WHERE term = 'the' AND df > 9 INTERSECT SELECT docid FROM tf JOIN ts USING (term) WHERE term = 'of' AND df > 9", "tf", "ts"
+    ),
     "bwand_and": _with("SELECT qid, docid FROM sv", "sv"),
     "wand_bm25_topk": _with(_ranked.format("w"), "w"),
     "wand_bm25_long_topk": _with(_ranked.format("wl"), "lqr", "tf", "dl", "st", more={"wl": _WL}),
@@ -232,3 +234,10 @@ SQL = {
         " QUALIFY row_number() OVER (PARTITION BY qid ORDER BY docid DESC) <= 10"
     ),
 }
+
+# The same over whole items of the benchmark.
+for _name, _short in (
+    ("svs_and_long", "svs_and"), ("mbwand_idf_long_topk", "mbwand_idf_topk"), ("bwand_or_long_topk", "bwand_or_topk"), ("feature_vectors_long", "feature_vectors"),
+    ("lambdamart_rerank_long", "lambdamart_rerank"),
+):
+    SQL[_name] = SQL[_short].replace(" AND pos <= 4", "")

@@ -17,7 +17,7 @@ from fathom.sources import readers, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 
 HITS = 10
-CANDIDATES = 20
+CANDIDATES = 100
 LOOKED_UP = ("the", "of", "and", "nosuchterm")
 
 SPEC = """8
@@ -130,7 +130,7 @@ def rarest_term(spark, d):
 
 def query_positions(spark, d):
     i, q = corpus(spark, d), topics(spark, d)
-    pairs = candidates.conjunction(i, q, 5)
+    pairs = candidates.conjunction(i, q)
     found = access.query_positions(i, q, pairs).join(pairs, ["qid", "docid"], "left_semi")
     return found.select("qid", "term", "docid", "tf", _joined("positions"))
 
@@ -198,8 +198,8 @@ def bm25_term_scores(spark, d):
     return found.select("term", "docid", F.round(scoring.bm25(F.col("tf"), F.col("doc_len"), F.col("avgdl"), F.col("idf")), 4).alias("score"))
 
 
-def _vectors(spark, d, chosen: list[features.Feature], static: bool = False) -> DataFrame:
-    i, q = corpus(spark, d), topics(spark, d)
+def _vectors(spark, d, chosen: list[features.Feature], static: bool = False, length: int | None = 4) -> DataFrame:
+    i, q = corpus(spark, d), topics(spark, d, length)
     pairs = candidates.bm25_top(i, q, CANDIDATES)
     return features.extract(i, q, pairs, chosen, static_features(spark, d) if static else None)
 
@@ -216,8 +216,28 @@ def static(spark, d):
     return pairs.select("qid", "docid").join(static_features(spark, d), "docid", "left").fillna(0.0, ["quality"]).select("qid", "docid", "quality")
 
 
-def feature_vectors(spark, d):
-    v = _vectors(spark, d, FEATURES, True)
+def svs_and_long(spark, d):
+    return candidates.conjunction(corpus(spark, d), topics(spark, d, None))
+
+
+def mbwand_idf_long_topk(spark, d):
+    return candidates.idf_top(corpus(spark, d), topics(spark, d, None), HITS)
+
+
+def bwand_or_long_topk(spark, d):
+    return candidates.rarest_top(corpus(spark, d), topics(spark, d, None), HITS)
+
+
+def feature_vectors_long(spark, d):
+    return feature_vectors(spark, d, None)
+
+
+def lambdamart_rerank_long(spark, d):
+    return rerank.rerank(feature_vectors(spark, d, None), readers.parse_trees(MODEL.splitlines()))
+
+
+def feature_vectors(spark, d, length: int | None = 4):
+    v = _vectors(spark, d, FEATURES, True, length)
     return v.select("qid", "docid", *[F.round(f"f{k}", 4).alias(f"f{k}") for k in range(1, 10)])
 
 
@@ -238,7 +258,7 @@ def trec_run(spark, d):
 
 
 def set_output(spark, d):
-    return sinks.set_lines(mbwand_idf_topk(spark, d))
+    return sinks.set_lines(mbwand_idf_topk(spark, d)).select("line")
 
 
 def vector_lines(spark, d):
@@ -267,7 +287,7 @@ def queries() -> dict[str, Query]:
         dictionary, doc_stats, collection_stats, term_stats, postings_docids, postings_tf, postings_positional, term_upper_bound, doc_vectors,
         term_lookup, postings_lookup, vocab_df, doc_vector_lookup, resolve_query_terms, rarest_term, query_positions,
         svs_and, svs_and_topk, svs_recent, intersect_two_terms, bwand_and, wand_bm25_topk, wand_bm25_long_topk, mbwand_idf_topk, bwand_or_topk,
-        bloom_blocks, bloom_membership, bwand_and_bloom, idf, bm25_term_scores, feature_vectors, lambdamart_rerank,
+        bloom_blocks, bloom_membership, bwand_and_bloom, idf, bm25_term_scores, feature_vectors, svs_and_long, mbwand_idf_long_topk, bwand_or_long_topk, feature_vectors_long, lambdamart_rerank_long, lambdamart_rerank,
         docno_join, trec_run, set_output, vector_lines, parse_pages, parse_messages, reverse_messages,
     )
     named = {

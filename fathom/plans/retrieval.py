@@ -38,7 +38,7 @@ def retrieve(
     found = generate(index, queries, algorithm, hits, hashes)
     if spec and index.doc_vectors is not None:
         vectors = features.extract(index, queries, found, list(spec), static)
-        return ("run", rerank.rerank(vectors, model)) if model else ("vectors", vectors)
+        return ("run", rerank.rerank(vectors, model, index.newest_first())) if model else ("vectors", vectors)
     if algorithm in RANKED:
         return "run", found
     if model:
