@@ -43,7 +43,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65536
 MOST_CUTS = 3  # of a piece, if there are others
 FAN_IN = 64  # partitions whose rests are packed together
-LEVELS, SALTS = 1024, 64
+LEVELS, SALTS = 256, 64
 
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window int, cost long, ids binary, part int, number long"
@@ -248,14 +248,17 @@ def balance_steps(pieces: DataFrame, tiers: Sequence[int] = TIERS, step_tokens:
     level = F.floor(F.lit(float(LEVELS)) * F.col("cost") / (F.col("tier") * F.col("tier"))).cast("int")
     w = w.select("sequence_id", "tier", (-level).alias("level"), F.pmod(F.xxhash64("sequence_id"), F.lit(SALTS)).alias("salt"))
     cells = w.groupBy("tier", "level", "salt").agg(F.count("*").alias("n"))
-    # At most LEVELS x SALTS cells a tier.
-    before = Window.partitionBy("tier").orderBy("level", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumns({"first": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("tier"))})
-    cells = cells.withColumn("groups", F.ceil(F.col("all") * F.col("tier") / F.lit(step_tokens)).cast("long"))
-    groups = cells.groupBy("tier").agg(F.max("groups").alias("groups"))  # a row for each tier
+    # At most LEVELS + 1 levels a tier, and SALTS cells a level.
+    levels = cells.groupBy("tier", "level").agg(F.sum("n").alias("l_n"))
+    before = lambda group, order: Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("l_first", F.coalesce(F.sum("l_n").over(before(["tier"], "level")), F.lit(0)))
+    every = levels.groupBy("tier").agg(F.sum("l_n").alias("all"))  # a row for each tier
+    every = every.withColumn("groups", F.ceil(F.col("all") * F.col("tier") / F.lit(step_tokens)).cast("long"))
     earlier = Window.orderBy(F.desc("tier")).rowsBetween(Window.unboundedPreceding, -1)
-    steps = groups.select("tier", F.coalesce(F.sum("groups").over(earlier), F.lit(0)).alias("first_step"))
-    cells = cells.join(F.broadcast(steps), "tier").select("tier", "level", "salt", "first", "groups", "first_step")
+    steps = every.select("tier", "groups", F.coalesce(F.sum("groups").over(earlier), F.lit(0)).alias("first_step"))
+    levels = levels.join(F.broadcast(steps), "tier").select("tier", "level", "l_first", "groups", "first_step")
+    cells = cells.withColumn("in_level", F.coalesce(F.sum("n").over(before(["tier", "level"], "salt")), F.lit(0)))
+    cells = cells.join(F.broadcast(levels), ["tier", "level"]).withColumn("first", F.col("l_first") + F.col("in_level")).drop("n", "in_level", "l_first")
     within = Window.partitionBy("tier", "level", "salt").orderBy("sequence_id")
     ranked = w.join(cells, ["tier", "level", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(within) - 1)
     row, at = F.floor(F.col("rank") / F.col("groups")), F.col("rank") % F.col("groups")
