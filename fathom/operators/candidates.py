@@ -14,6 +14,8 @@ from fathom.operators.access import postings_for, postings_of, rarest, resolve
 from fathom.plans.index import Index
 
 HITS = 1000
+#: More than rounding may add to a score; bounds this close to a floor don't rule a term out.
+SLACK = 1e-3
 
 
 def _first(found: DataFrame, index: Index, hits: int | None) -> DataFrame:
@@ -79,6 +81,41 @@ def bm25_top(index: Index, queries: DataFrame, hits: int = HITS) -> DataFrame:
     return _best(found.groupBy("qid", "docid").agg(F.sum(score).alias("score")), index, hits)
 
 
+def bounded_bm25_top(index: Index, queries: DataFrame, hits: int = HITS) -> DataFrame:
+    """The same rows, without scoring documents that hold only terms too weak to lead into the first ``hits``.
+
+    Each query is opened with the strongest of its terms that ``hits`` documents hold:
+    the last of its best scores, less what terms of negative idf may take away, is a
+    floor that so many documents reach. Terms whose upper bounds together stay below
+    it are weak: they name no candidate, and are looked up for those candidates alone
+    whose score by the other terms can still reach the floor with them.
+    """
+    index.need("tf")
+    asked = resolve(index, queries).groupBy("qid", "term").agg(F.count("*").alias("times"), F.first("idf").alias("idf"), F.first("df").alias("df"))
+    asked = asked.join(index.searchable().select("term", "max_tf", "max_tf_dl"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
+    most = F.col("times") * scoring.bm25(F.col("max_tf"), F.col("max_tf_dl"), F.col("avgdl"), F.col("idf"))
+    up = Window.partitionBy("qid").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = asked.withColumn("most", most).withColumn("below", F.sum(F.greatest("most", F.lit(0.0))).over(up))
+    score = F.col("times") * scoring.bm25(F.col("tf"), F.col("doc_len"), F.col("avgdl"), F.col("idf"))
+    postings = postings_for(index, asked, "docid", "tf", "doc_len")
+
+    able = F.when((F.col("df") >= hits) & (F.col("idf") > 0), F.struct("most", "term", "times", "idf", "avgdl"))
+    opened = asked.groupBy("qid").agg(F.max(able).alias("o"), F.sum(F.least("most", F.lit(0.0))).alias("less")).where("o IS NOT NULL").select("qid", "o.*", "less")
+    first = Window.partitionBy("qid").orderBy(F.col("score").desc())
+    held = opened.join(postings, "term").select("qid", (score + F.col("less")).alias("score")).withColumn("at", F.row_number().over(first))
+    floor = held.where(F.col("at") <= hits).groupBy("qid").agg(F.min("score").alias("floor"))
+
+    asked = asked.join(floor, "qid", "left").withColumn("weak", F.coalesce(F.col("below") < F.col("floor") - SLACK, F.lit(False)))
+    rest = F.max(F.when(F.col("weak"), F.col("below"))).over(Window.partitionBy("qid"))
+    asked = asked.withColumn("rest", F.coalesce(rest, F.lit(0.0)))
+    strong = asked.where(~F.col("weak")).join(postings, "term").groupBy("qid", "docid")
+    strong = strong.agg(F.sum(score).alias("score"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    kept = strong.where(F.col("floor").isNull() | (F.col("score") + F.col("rest") >= F.col("floor") - SLACK)).select("qid", "docid", "score")
+    weak = asked.where(F.col("weak")).select("qid", "term", "times", "idf", "avgdl")
+    added = kept.select("qid", "docid").join(weak, "qid").join(postings, ["term", "docid"]).select("qid", "docid", score.alias("score"))
+    return _best(kept.unionByName(added).groupBy("qid", "docid").agg(F.sum("score").alias("score")), index, hits)
+
+
 def idf_top(index: Index, queries: DataFrame, hits: int = HITS) -> DataFrame:
     """qid, docid: the documents with the largest sums of idf, without an order."""
     asked = resolve(index, queries).groupBy("qid", "term").agg(F.sum("idf").alias("idf"))

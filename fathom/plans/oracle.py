@@ -241,3 +241,6 @@ for _name, _short in (
     ("lambdamart_rerank_long", "lambdamart_rerank"),
 ):
     SQL[_name] = SQL[_short].replace(" AND pos <= 4", "")
+
+# Bounds change the way, not the rows.
+SQL |= {"wand_bounded_topk": SQL["wand_bm25_topk"], "wand_bounded_long_topk": SQL["wand_bm25_long_topk"]}

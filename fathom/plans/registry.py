@@ -165,6 +165,14 @@ def wand_bm25_long_topk(spark, d):
     return candidates.bm25_top(corpus(spark, d), topics(spark, d, None), HITS)
 
 
+def wand_bounded_topk(spark, d):
+    return candidates.bounded_bm25_top(corpus(spark, d), topics(spark, d), HITS)
+
+
+def wand_bounded_long_topk(spark, d):
+    return candidates.bounded_bm25_top(corpus(spark, d), topics(spark, d, None), HITS)
+
+
 def mbwand_idf_topk(spark, d):
     return candidates.idf_top(corpus(spark, d), topics(spark, d), HITS)
 
@@ -286,7 +294,7 @@ def queries() -> dict[str, Query]:
     plain = (
         dictionary, doc_stats, collection_stats, term_stats, postings_docids, postings_tf, postings_positional, term_upper_bound, doc_vectors,
         term_lookup, postings_lookup, vocab_df, doc_vector_lookup, resolve_query_terms, rarest_term, query_positions,
-        svs_and, svs_and_topk, svs_recent, intersect_two_terms, bwand_and, wand_bm25_topk, wand_bm25_long_topk, mbwand_idf_topk, bwand_or_topk,
+        svs_and, svs_and_topk, svs_recent, intersect_two_terms, bwand_and, wand_bm25_topk, wand_bm25_long_topk, wand_bounded_topk, wand_bounded_long_topk, mbwand_idf_topk, bwand_or_topk,
         bloom_blocks, bloom_membership, bwand_and_bloom, idf, bm25_term_scores, feature_vectors, svs_and_long, mbwand_idf_long_topk, bwand_or_long_topk, feature_vectors_long, lambdamart_rerank_long, lambdamart_rerank,
         docno_join, trec_run, set_output, vector_lines, parse_pages, parse_messages, reverse_messages,
     )
