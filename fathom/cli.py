@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--features")
     a.add_argument("--model")
     a.add_argument("--tag", default="fathom")
+    a.add_argument("--each", action="store_true", help="answer the queries one by one and show each one's microseconds and length; nothing is written")
     a = to.add_parser("postings", help="show a term's postings, or all terms")
     a.add_argument("--index", required=True)
     a.add_argument("--term")
@@ -70,7 +71,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         model = readers.parse_trees(_file(spark, args.model)) if args.model else []
         docnos = readers.read_docnos(spark, args.docnos) if args.docnos else None
         queries = readers.read_queries(spark, args.query)
-        kind, found = retrieve(index, queries, args.algorithm, args.hits, spec, _static(spark, paths), model, args.hashes)
+        static = _static(spark, paths)
+        if args.each:
+            for qid, length in queries.groupBy("qid").agg(F.count("*").alias("n")).orderBy("qid").toLocalIterator():
+                began = time.time()
+                one = retrieve(index, queries.where(F.col("qid") == qid), args.algorithm, args.hits, spec, static, model, args.hashes)[1]
+                one.write.format("noop").mode("overwrite").save()
+                print(f"{(time.time() - began) * 1e6:10.0f} length: {length}")
+            return
+        kind, found = retrieve(index, queries, args.algorithm, args.hits, spec, static, model, args.hashes)
         lines = sinks.run_lines(found, docnos, args.tag) if kind == "run" else sinks.vector_lines(found, docnos) if kind == "vectors" else sinks.set_lines(found, docnos)
         if args.output:
             sinks.write_lines(lines, args.output, ["qid", "rank"] if kind == "run" else ["qid", "docid"])

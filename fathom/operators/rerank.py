@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Larger ensembles are walked over batches and not compiled.
+MOST_NODES = 400
+
 
 @dataclass(frozen=True)
 class Node:
@@ -67,7 +70,7 @@ def walk(flat: Sequence[tuple], x: np.ndarray) -> np.ndarray:
     return total
 
 
-def score(vectors: DataFrame, trees: Sequence[Node], most_nodes: int = 400) -> DataFrame:
+def score(vectors: DataFrame, trees: Sequence[Node], most_nodes: int = MOST_NODES) -> DataFrame:
     """Adds score. Small ensembles become one expression; larger ones run over Arrow batches."""
     columns = sorted((c for c in vectors.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     if sum(len(flatten(t)[0]) for t in trees) <= most_nodes:
@@ -85,8 +88,8 @@ def score(vectors: DataFrame, trees: Sequence[Node], most_nodes: int = 400) -> D
     return vectors.withColumn("score", run(*[F.col(c).cast("double") for c in columns]))
 
 
-def rerank(vectors: DataFrame, trees: Sequence[Node], ties: Column | None = None) -> DataFrame:
+def rerank(vectors: DataFrame, trees: Sequence[Node], ties: Column | None = None, most_nodes: int = MOST_NODES) -> DataFrame:
     """qid, docid, score, rank; equal scores in the order of ties, by docid if none is given."""
-    scored = score(vectors, trees).withColumn("score", F.round("score", 4))
+    scored = score(vectors, trees, most_nodes).withColumn("score", F.round("score", 4))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("docid").asc() if ties is None else ties)
     return scored.withColumn("rank", F.row_number().over(order)).select("qid", "docid", "score", "rank")

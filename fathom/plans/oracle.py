@@ -244,3 +244,15 @@ for _name, _short in (
 
 # Bounds change the way, not the rows.
 SQL |= {"wand_bounded_topk": SQL["wand_bm25_topk"], "wand_bounded_long_topk": SQL["wand_bm25_long_topk"]}
+
+# What is written and read back is the same; so are an ensemble's scores, compiled or walked.
+SQL |= {
+    "line_files": SQL["doc_vectors"],
+    "query_file": _with("SELECT qid, pos AS ord, term FROM lq", "b", "lq"),
+    "docno_file": "SELECT row_number() OVER (ORDER BY docid) AS docid, docno FROM (" + _DOCNO + ")",
+    "trec_files": SQL["parse_pages"],
+    "status_files": SQL["parse_messages"],
+    "compacted_index": SQL["postings_tf"],
+    "walked_rerank": SQL["lambdamart_rerank"],
+    "command_line": _with(f"SELECT concat_ws(' ', qid, 'Q0', docid, rank, printf('%.6f', score), 'fathom') AS line FROM ({_ranked.format('w')})", "w"),
+}

@@ -11,7 +11,7 @@ from fathom.functions import scoring
 from fathom.operators import access, bloom, candidates, features, rerank
 from fathom.plans import index as ix
 from fathom.plans.oracle import SQL
-from fathom.plans.workspace import corpus, documents, static_features, topics
+from fathom.plans.workspace import corpus, documents, scratch, static_features, topics
 from fathom.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,12 +290,72 @@ def reverse_messages(spark, d):
     return candidates.conjunction(i, q, HITS)
 
 
+def _written(spark, what: str, write: Callable[[str], None]) -> str:
+    path = scratch(spark, what)
+    write(path)
+    return path
+
+
+def _messages(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+
+
+def line_files(spark, d):
+    """Documents written as gzipped lines and read back."""
+    path = _written(spark, "lines", lambda p: sinks.write_documents(documents(spark, d), p))
+    return readers.read_lines(spark, path).select("docid", _joined("terms"))
+
+
+def query_file(spark, d):
+    path = _written(spark, "queries", lambda p: sinks.write_queries(topics(spark, d, None), p))
+    return readers.read_queries(spark, path)
+
+
+def docno_file(spark, d):
+    path = _written(spark, "docnos", lambda p: sinks.write_docnos(_docnos(spark, d), p))
+    return readers.read_docnos(spark, path)
+
+
+def trec_files(spark, d):
+    path = _written(spark, "trec", lambda p: sinks.write_trec(spark.read.parquet(f"{d}/pages.parquet"), p))
+    return readers.read_archive(spark, path).select("docid", _joined("terms"))
+
+
+def status_files(spark, d):
+    path = _written(spark, "statuses", lambda p: _messages(spark, d).write.json(p))
+    return readers.read_tweets(spark, path).select("docid", _joined("terms"))
+
+
+def compacted_index(spark, d):
+    """The postings of an index that was saved, rewritten and loaded."""
+    path = _written(spark, "index", lambda p: ix.save_index(corpus(spark, d), p))
+    return ix.compact(spark, path, scratch(spark, "compact")).postings.select("term", "docid", "tf")
+
+
+def walked_rerank(spark, d):
+    """The ensemble walked over batches, as large ones are."""
+    return rerank.rerank(feature_vectors(spark, d), readers.parse_trees(MODEL.splitlines()), most_nodes=0)
+
+
+def command_line(spark, d):
+    """Indexing and retrieval by the command line's arguments, from files to a file."""
+    from fathom import cli
+
+    lines = _written(spark, "lines", lambda p: sinks.write_documents(documents(spark, d), p))
+    asked = _written(spark, "queries", lambda p: sinks.write_queries(topics(spark, d), p))
+    index, run = scratch(spark, "index"), scratch(spark, "run")
+    cli.run(spark, cli.parser().parse_args(["index", "--index", index, "--type", "tf", "--input", lines]))
+    cli.run(spark, cli.parser().parse_args(["retrieve", "--index", index, "--query", asked, "--algorithm", "WAND", "--hits", str(HITS), "--output", run]))
+    return spark.read.text(run).select(F.col("value").alias("line"))
+
+
 def queries() -> dict[str, Query]:
     plain = (
         dictionary, doc_stats, collection_stats, term_stats, postings_docids, postings_tf, postings_positional, term_upper_bound, doc_vectors,
         term_lookup, postings_lookup, vocab_df, doc_vector_lookup, resolve_query_terms, rarest_term, query_positions,
         svs_and, svs_and_topk, svs_recent, intersect_two_terms, bwand_and, wand_bm25_topk, wand_bm25_long_topk, wand_bounded_topk, wand_bounded_long_topk, mbwand_idf_topk, bwand_or_topk,
         bloom_blocks, bloom_membership, bwand_and_bloom, idf, bm25_term_scores, feature_vectors, svs_and_long, mbwand_idf_long_topk, bwand_or_long_topk, feature_vectors_long, lambdamart_rerank_long, lambdamart_rerank,
+        line_files, query_file, docno_file, trec_files, status_files, compacted_index, walked_rerank, command_line,
         docno_join, trec_run, set_output, vector_lines, parse_pages, parse_messages, reverse_messages,
     )
     named = {

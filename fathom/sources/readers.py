@@ -13,6 +13,10 @@ from fathom.operators.features import Feature
 from fathom.operators.rerank import Node
 
 
+#: Most floats in a record of a file of static features.
+BLOCK = 4096
+
+
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """docid, terms from lines ``docid<TAB>term term …``, plain or gzipped. Lines without a number are left out."""
     lines = spark.read.text(list(paths)).select(F.split("value", "\t", 2).alias("p"))
@@ -21,8 +25,9 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """at (from 0), value: a file's lines in order. Splits of the file are counted first, so a long one is read by many tasks."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    """at (from 0), value: lines in order, of several files by name. Splits of files are counted first, so a long one is read by many tasks."""
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", where.alias("split"), F.monotonically_increasing_id().alias("line"))
     before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     starts = lines.groupBy("split").agg(F.count("*").alias("n")).select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("split").orderBy("line"))
@@ -64,21 +69,34 @@ def parse_features(lines: Iterable[str]) -> tuple[list[Feature], list[str]]:
 
 
 def read_static(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """docid (from 1), name: from a file of little-endian 32-bit floats, decoded in the task that reads it."""
+    """docid (from 1), name: from a file of little-endian 32-bit floats.
+
+    The file is read in records of equal length, as long as its size allows up to
+    ``BLOCK`` floats, by as many tasks as it has splits; none holds the whole file.
+    """
     import numpy as np
     import pyarrow as pa
 
+    whole = spark.read.format("binaryFile").load(path).select("length").first()  # none if it is empty
+    size = whole[0] if whole else 0
+    if size % 4:
+        raise ValueError(f"{path} isn't a file of 32-bit floats")
+    count = size // 4
+    if not count:
+        return spark.createDataFrame([], f"docid long, {name} float")
+    each = next(n for n in range(min(BLOCK, count), 0, -1) if count % n == 0)
+
     def run(batches):
         for batch in batches:
-            for at, data in zip(batch.column("at").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                values = np.frombuffer(data, dtype="<f4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at + 1, at + 1 + len(values))), pa.array(values)], names=["docid", name])
-
-    size = 4 * 262144
-    whole = spark.read.format("binaryFile").load(path).select("content", "length")
-    parts = whole.select("content", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long"))).alias("from"))
-    parts = parts.select((F.col("from") / 4).cast("long").alias("at"), F.expr(f"substring(content, cast(from + 1 as int), {size})").alias("content"))
-    return parts.mapInArrow(run, f"docid long, {name} float")
+            blocks = batch.column("block").to_pylist()
+            values = [np.frombuffer(b, dtype="<f4") for b in blocks]
+            ids = [at * each + np.arange(1, each + 1) for at in batch.column("at").to_pylist()]
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(values))], names=["docid", name])
+
+    # Records of a fixed length are what the RDD reader alone can split a binary file into.
+    records = spark.sparkContext.binaryRecords(path, 4 * each).map(bytearray).zipWithIndex()
+    return spark.createDataFrame(records, "block binary, at long").mapInArrow(run, f"docid long, {name} float")
 
 
 def parse_trees(lines: Iterable[str]) -> list[Node]:

@@ -44,3 +44,22 @@ def write_documents(vectors: DataFrame, path: str, partitions: int | None = None
     n = [partitions] if partitions else []
     rows = vectors.repartitionByRange(*n, "docid").sortWithinPartitions("docid")
     rows.select(F.concat_ws("\t", "docid", F.array_join("terms", " ")).alias("value")).write.mode("overwrite").text(path, compression="gzip")
+
+
+def write_queries(queries: DataFrame, path: str) -> None:
+    """queries: qid, ord, term. A count, then ``qid length term …``, in order over all files."""
+    rows = queries.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("ord", "term"))).alias("t"))
+    lines = rows.select(F.lit(1).alias("kind"), "qid", F.concat_ws(" ", "qid", F.size("t"), F.array_join("t.term", " ")).alias("line"))
+    count = rows.agg(F.count("*").alias("n")).select(F.lit(0).alias("kind"), F.lit(0).alias("qid"), F.col("n").cast("string").alias("line"))
+    write_lines(lines.unionByName(count), path, ["kind", "qid"])
+
+
+def write_docnos(docnos: DataFrame, path: str) -> None:
+    """docnos: docid (from 1, without gaps), docno. A line each, in order over all files."""
+    write_lines(docnos.select("docid", F.col("docno").alias("line")), path, ["docid"])
+
+
+def write_trec(pages: DataFrame, path: str) -> None:
+    """pages: page_id, url, html. Records between <DOC> and </DOC>; their numbers are page_id + 1."""
+    head = F.concat(F.lit("<DOC>\n<DOCNO>"), F.col("page_id") + 1, F.lit("</DOCNO>\n<DOCHDR>\n"), F.coalesce("url", F.lit("")), F.lit("\n</DOCHDR>\n"))
+    pages.select(F.concat(head, F.coalesce("html", F.lit("")), F.lit("\n</DOC>")).alias("value")).write.mode("overwrite").text(path)
