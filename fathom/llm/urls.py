@@ -36,6 +36,7 @@ LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>\\]+)"
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
 #: Sum over all hosts of the change in 5 rounds.
 TOLERANCE = 1e-9
+SQL_LINKS = 150
 
 
 def lower(column: Column) -> Column:
@@ -152,14 +153,19 @@ def _sql() -> str:
         f"x AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS dst FROM b)",
         f"l AS (SELECT DISTINCT src, {low.format('dst')} AS dst FROM x WHERE src <> '' AND src <> {low.format('dst')})",
     ]
-    for name, seed, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
-        steps.append(f"{name}e AS (SELECT {src} AS src, {dst} AS dst, {DAMPING}e0 / count(*) OVER (PARTITION BY {src}) AS part FROM l)")
-        steps.append(f"{name}0 AS (SELECT host, {seed} AS r FROM h WHERE {seed} > 0)")
-        for k in range(ROUNDS):
-            steps.append(f"{name}{k + 1} AS (SELECT host, sum(r) AS r FROM (SELECT * FROM {name}0 UNION ALL SELECT dst, r * part FROM {name}e JOIN {name}{k} ON src = host) GROUP BY host)")
-    steps.append(f"j AS (SELECT h.host, coalesce(t{ROUNDS}.r, 0e0) AS good, coalesce(d{ROUNDS}.r, 0e0) AS bad FROM h LEFT JOIN t{ROUNDS} USING (host) LEFT JOIN d{ROUNDS} USING (host))")
+    # What k links carry of the seeds adds up to the ranks; at SQL_LINKS of them it is below the rounding.
+    for name, seed, src, dst, rest in (("t", "good", "src", "dst", "1e0"), ("d", "bad", "dst", "src", "1e0 - coalesce(h.bad, 0e0)")):
+        steps.append(
+            f"{name}e AS (SELECT l.{src} AS src, l.{dst} AS dst, {DAMPING}e0 / count(*) OVER (PARTITION BY l.src) * ({rest}) AS part FROM l LEFT JOIN h ON h.host = l.src)"
+        )
+        steps.append(
+            f"{name}k AS (SELECT 0 AS k, host, {seed} AS r FROM h WHERE {seed} > 0 UNION ALL "
+            f"SELECT k + 1, dst, sum(r * part) FROM {name}k JOIN {name}e ON src = host WHERE k < {SQL_LINKS} AND part > 0 GROUP BY k, dst)"
+        )
+        steps.append(f"{name} AS (SELECT host, sum(r) AS r FROM {name}k GROUP BY host)")
+    steps.append("j AS (SELECT h.host, coalesce(t.r, 0e0) AS good, coalesce(d.r, 0e0) AS bad FROM h LEFT JOIN t USING (host) LEFT JOIN d USING (host))")
     return (
-        "WITH " + ",\n".join(steps) + "\nSELECT page_id, c.host, path, rule, coalesce(said, CASE WHEN round(j.bad, 9) >= "
+        "WITH RECURSIVE " + ",\n".join(steps) + "\nSELECT page_id, c.host, path, rule, coalesce(said, CASE WHEN round(j.bad, 9) >= "
         f"{THRESHOLD}e0 AND round(j.bad, 9) > round(j.good, 9) THEN 'block' ELSE 'allow' END) AS verdict FROM c LEFT JOIN j ON c.host = j.host"
     )
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from fathom.llm import urls
@@ -93,6 +96,22 @@ def test_distrust_against_a_loop(spark):
     assert {r.host: round(r.rank, 8) for r in found.collect()} == {k: round(v, 8) for k, v in ranks.items()}
 
 
+def test_sql_on_pages_with_links(spark, tmp_path):
+    rng = random.Random(4)
+    hosts = [f"h{k}.{rng.choice(['test', 'org', 'net', 'com'])}" for k in range(60)]
+    rows = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['fr/', 'de/', 'x'])}", page_to(*rng.sample(hosts, rng.randrange(3)))) for k in range(150)]
+    rows += [(200 + k, f"http://chain{k}.test/", page_to(f"chain{k + 1}.test" if k < 3 else "bad.net")) for k in range(4)]
+    rows += [(300, "http://bad.net/", None), (301, None, page_to("bad.net")), (300, "http://bad.net/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    found = sorted(map(str, (tuple(r) for r in urls.op8_judge_urls(spark, str(tmp_path)).collect())))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert found == sorted(map(str, db.execute(urls.OP8_SQL).fetchall()))
+    assert {"None"} < {str(r[3]) for r in db.execute(urls.OP8_SQL).fetchall()}
+    ruled = {r[4] for r in db.execute(urls.OP8_SQL).fetchall() if r[3] is None}
+    assert ruled == {"allow", "block"}
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
 
