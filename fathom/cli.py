@@ -8,6 +8,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from fathom.functions.tokenize import prepared
 from fathom.operators import access
 from fathom.plans import index as ix
 from fathom.plans.retrieval import ALGORITHMS, retrieve
@@ -37,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--model")
     a.add_argument("--tag", default="fathom")
     a.add_argument("--each", action="store_true", help="answer the queries one by one and show each one's microseconds and length; nothing is written")
+    for name in ("index", "retrieve"):
+        to.choices[name].add_argument("--stop", help="a file of stop words, one a line, that are left out")
+        to.choices[name].add_argument("--stem", action="store_true", help="take Porter's stems of the terms")
     a = to.add_parser("postings", help="show a term's postings, or all terms")
     a.add_argument("--index", required=True)
     a.add_argument("--term")
@@ -53,6 +57,10 @@ def _file(spark: SparkSession, path: str) -> list[str]:
     return spark.read.text(path, wholetext=True).first()[0].splitlines()
 
 
+def _stop(spark: SparkSession, path: str | None) -> list[str]:
+    return [w for w in map(str.strip, _file(spark, path)) if w] if path else []
+
+
 def _static(spark: SparkSession, paths: list[str]):
     static = None
     for k, path in enumerate(paths):
@@ -63,7 +71,7 @@ def _static(spark: SparkSession, paths: list[str]):
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "index":
-        lines = readers.read_lines(spark, *args.input)
+        lines = readers.read_lines(spark, *args.input).withColumn("terms", prepared(F.col("terms"), _stop(spark, args.stop), args.stem))
         ix.create_index(lines, args.index, args.type, args.df_cutoff, args.reverse, args.vectors, args.partitions)
     elif args.command == "retrieve":
         index, began = ix.load_index(spark, args.index), time.time()
@@ -71,6 +79,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         model = readers.parse_trees(_file(spark, args.model)) if args.model else []
         docnos = readers.read_docnos(spark, args.docnos) if args.docnos else None
         queries = readers.read_queries(spark, args.query)
+        if args.stop or args.stem:
+            queries = queries.withColumn("term", F.explode(prepared(F.array("term"), _stop(spark, args.stop), args.stem)))
         static = _static(spark, paths)
         if args.each:
             for qid, length in queries.groupBy("qid").agg(F.count("*").alias("n")).orderBy("qid").toLocalIterator():

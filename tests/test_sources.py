@@ -100,6 +100,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted(capsys.readouterr().out.split()) == ["2:1", "5:2"]
 
 
+def test_command_line_with_stems(spark, tmp_path, capsys):
+    write(tmp_path / "docs", "1\tthe operations\n2\tthe operator computes\n3\tthe cats\n")
+    write(tmp_path / "q", "2\n1 2 operate the\n2 1 the\n")
+    write(tmp_path / "stop", "the\nof\n")
+    go = lambda *a: cli.run(spark, cli.parser().parse_args([str(x) for x in a]))
+    words = ["--stop", tmp_path / "stop", "--stem"]
+    go("index", "--index", tmp_path / "i", "--df-cutoff", 0, "--input", tmp_path / "docs", *words)
+    go("retrieve", "--index", tmp_path / "i", "--query", tmp_path / "q", "--output", tmp_path / "o", *words)
+    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ["1 1", "1 2"]
+    capsys.readouterr()
+    go("postings", "--index", tmp_path / "i")
+    assert sorted(capsys.readouterr().out.splitlines()) == ["cat 1", "comput 1", "oper 2"]
+
+
 def test_document_lines_come_back(spark, tmp_path):
     docs = spark.createDataFrame([(2, ["b", "c"]), (1, ["a"])], "docid long, terms array<string>")
     sinks.write_documents(docs, str(tmp_path / "out"), 2)
