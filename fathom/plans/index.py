@@ -8,8 +8,12 @@ doc_len), ``stats`` (one row) and ``doc_vectors`` (docid, terms) go with it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,10 @@ from fathom.functions.tokenize import tokens
 DF_CUTOFF = 9
 SIFT = 1 << 20  # most rows that are broadcast
 TYPES = ("docids", "tf", "positional")
+#: Tokens whose postings are made at once; one document's at least.
+TOKENS = 1 << 18
+#: About as many tokens are behind the postings of one file, and so many postings a file are looked at for where files begin.
+PART, LOOKS = 1 << 20, 200
 
 
 @dataclass(frozen=True)
@@ -71,6 +79,87 @@ def collection_stats(doc_stats: DataFrame) -> DataFrame:
     return s.withColumn("default_idf", scoring.idf(F.col("default_df"), F.col("n_docs")))
 
 
+def _grouped(with_positions: bool):
+    """Rows of docid, terms into those of term, docid, tf, doc_len and, if wanted, positions. A document's postings are made from its one row."""
+
+    def of(ids: pa.Array, lists: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        coded, n = lists.flatten().dictionary_encode(null_encoding="encode"), len(sizes)
+        key = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes)
+        order = np.argsort(key, kind="stable")  # by term, document and position
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        bounds, doc = np.append(starts, len(key)).astype(np.int32), key[starts] % n
+        made = {"term": coded.dictionary.take(pa.array(key[starts] // n)), "docid": ids.take(pa.array(doc)), "tf": pa.array(np.diff(bounds)), "doc_len": pa.array(sizes[doc])}
+        if with_positions:
+            at = np.arange(1, len(key) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            made["positions"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(at[order].astype(np.int32)))
+        return pa.RecordBatch.from_pydict(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column("docid"), batch.column("terms")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while at < len(sizes):
+                to = max(at + 1, int(np.searchsorted(before, before[at] + TOKENS, side="right")) - 1)
+                if before[to] > before[at]:
+                    yield of(ids.slice(at, to - at), lists.slice(at, to - at), sizes[at:to])
+                at = to
+
+    return run
+
+
+def _postings(vectors: DataFrame, with_positions: bool, bounds: list[tuple[str, int]] | None = None) -> DataFrame:
+    """term, docid, tf, doc_len and, if wanted, positions; with bounds, part: the file that they belong to.
+
+    Nothing is shuffled but the ids: only rows that share one, or have none, are
+    grouped over all documents.
+    """
+    placed = vectors.select("docid", "terms", F.coalesce(F.pmod(F.xxhash64("docid"), F.lit(SIFT)), F.lit(0)).alias("place"))
+    shared = placed.groupBy("docid", "place").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("docid").isNull())
+    sieve = F.broadcast(shared.select("place").distinct())
+    kinds = "term string, docid long, tf int, doc_len long" + (", positions array<int>" if with_positions else "")
+    grouped, dealt = _grouped(with_positions), _dealt(bounds or [])
+    made = grouped if bounds is None else lambda batches: dealt(grouped(batches))
+    single = placed.join(sieve, "place", "left_anti").select("docid", "terms").mapInArrow(made, kinds + ("" if bounds is None else ", part int"))
+    several = placed.join(sieve, "place", "left_semi").select("docid", F.size("terms").cast("long").alias("doc_len"), F.posexplode("terms").alias("at", "term"))
+    counts = several.groupBy("term", "docid").agg(
+        F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_list((F.col("at") + 1).cast("int"))).alias("positions")
+    )
+    counts = counts.select(*[c for c in single.columns if c != "part"])
+    return single.unionByName(counts if bounds is None else counts.mapInArrow(dealt, kinds + ", part int"))
+
+
+def _bounds(postings: DataFrame, n: int, total: int) -> list[tuple[str, int]]:
+    """The first term and document of each file but the first, so that files are about as large. Only how even they are depends on the postings looked at."""
+    few = max(1, total // (n * LOOKS))
+    seen = postings.select("term", "docid").where(F.col("term").isNotNull() & F.col("docid").isNotNull() & (F.pmod(F.xxhash64("term", "docid"), F.lit(few)) == 0))
+    rows = sorted(map(tuple, seen.collect()))
+    return sorted({rows[len(rows) * k // n] for k in range(1, n)} if rows else ())
+
+
+def _dealt(bounds: list[tuple[str, int]]):
+    """Adds part: the number of the file that a posting belongs to."""
+    names, ids = np.array([t for t, _ in bounds], dtype=object), np.array([d for _, d in bounds], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("term").dictionary_encode(null_encoding="encode")
+            terms, code = np.array([t or "" for t in coded.dictionary.to_pylist()], dtype=object), coded.indices.to_numpy()
+            low, high = np.searchsorted(names, terms, side="left"), np.searchsorted(names, terms, side="right")
+            part = low[code] if len(terms) else np.zeros(0, dtype=np.int64)
+            cut = np.flatnonzero((low < high)[code]) if len(terms) else part
+            if len(cut):  # terms in which files begin
+                docid = pc.fill_null(batch.column("docid"), np.iinfo(np.int64).min).to_numpy()
+                cut = cut[np.argsort(code[cut], kind="stable")]
+                for rows in np.split(cut, np.flatnonzero(np.diff(code[cut])) + 1):
+                    a, b = low[code[rows[0]]], high[code[rows[0]]]
+                    part[rows] = a + np.searchsorted(ids[a:b], docid[rows], side="right")
+            yield batch.append_column("part", pa.array(part.astype(np.int32)))
+
+    return run
+
+
 def build_index(
     vectors: DataFrame, index_type: str = "positional", df_cutoff: int = DF_CUTOFF, reverse: bool = False, with_vectors: bool = True
 ) -> Index:
@@ -79,10 +168,7 @@ def build_index(
         raise ValueError(f"index_type must be one of {TYPES}")
     if df_cutoff < 0:
         raise ValueError("df_cutoff must not be negative")
-    found = vectors.select("docid", F.size("terms").cast("long").alias("doc_len"), F.posexplode("terms").alias("at", "term"))
-    counts = found.groupBy("term", "docid").agg(
-        F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_list((F.col("at") + 1).cast("int"))).alias("positions")
-    )
+    counts = _postings(vectors, index_type == "positional")
     keep = {"docids": ["term", "docid", "doc_len"], "tf": ["term", "docid", "tf", "doc_len"], "positional": ["term", "docid", "tf", "doc_len", "positions"]}
     doc_stats = vectors.select("docid", F.size("terms").cast("long").alias("doc_len"))
     stats = collection_stats(doc_stats)
@@ -112,11 +198,14 @@ def dictionary(vectors: DataFrame) -> DataFrame:
     return number(first, "docid", "pos").select((F.col("at") - 1).alias("termid"), "term")
 
 
-def _write_postings(index: Index, path: str, partitions: int | None) -> None:
-    """Postings are ordered by term and document over all files, so a term's are found by the files' statistics."""
-    n = [partitions] if partitions else []
-    order = F.col("docid").desc() if index.reverse else F.col("docid").asc()
-    index.postings.repartitionByRange(*n, "term", "docid").sortWithinPartitions("term", order).write.mode("overwrite").parquet(f"{path}/postings")
+def _parts(stats: DataFrame, partitions: int | None) -> int:
+    return partitions or (stats.first().total_len or 0) // PART + 1
+
+
+def _write_postings(dealt: DataFrame, reverse: bool, path: str) -> None:
+    """Postings (dealt by ranges) are ordered by term and document over all files, so a term's are found by the files' statistics."""
+    order = F.col("docid").desc() if reverse else F.col("docid").asc()
+    dealt.sortWithinPartitions("term", order).write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def _write_meta(index: Index, path: str) -> None:
@@ -134,9 +223,16 @@ def create_index(
     built = build_index(spark.read.schema("docid long, terms array<string>").parquet(kept), index_type, df_cutoff, reverse, with_vectors)
     built.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     collection_stats(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/stats")
-    _write_postings(built, path, partitions)
+    stats = spark.read.parquet(f"{path}/stats")
+    n, saved = _parts(stats, partitions), spark.read.schema("docid long, terms array<string>").parquet(kept)
+    # Where files begin is told by some documents' terms.
+    total = stats.first().total_len
+    few = max(1, total // (n * LOOKS * 100))
+    some = saved.where(F.pmod(F.xxhash64("docid"), F.lit(few)) == 0).select("docid", F.explode(F.array_distinct("terms")).alias("term"))
+    parted = _postings(saved, index_type == "positional", _bounds(some, n, total // few))
+    _write_postings(parted.select(*built.postings.columns, "part").repartitionById(n, F.col("part")).drop("part"), reverse, path)
     # Without term frequencies in the postings the statistics count the vectors again.
-    terms = built.term_stats if index_type == "docids" else term_stats(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+    terms = built.term_stats if index_type == "docids" else term_stats(spark.read.parquet(f"{path}/postings"), stats)
     terms.write.mode("overwrite").parquet(f"{path}/term_stats")
     _write_meta(built, path)
     if not with_vectors:
@@ -147,7 +243,7 @@ def create_index(
 
 def save_index(index: Index, path: str, partitions: int | None = None) -> None:
     """Writes the tables of an index that are tables already; see ``create_index`` for a new one."""
-    _write_postings(index, path, partitions)
+    _write_postings(index.postings.repartitionByRange(_parts(index.stats, partitions), "term", "docid"), index.reverse, path)
     for name in ("term_stats", "doc_stats", "stats", "doc_vectors"):
         if (table := getattr(index, name)) is not None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
