@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import scoring
-from fathom.operators.access import postings_for, resolve
+from fathom.operators.access import held, postings_for, resolve
 from fathom.plans.index import Index
 
 
+#: Pairs whose windows are one task's.
+EACH = 256
+
+
 @dataclass(frozen=True)
 class Feature:
     """scorer: BM25 (k1, b) or Dirichlet (mu). kind: Term, OD (ordered, gap) or UW (unordered, window)."""
@@ -103,14 +107,15 @@ def expression(f: Feature, features: Sequence[Feature]) -> Column:
 def gather(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs: qid, docid. One row each with doc_len, asked and the collection's statistics."""
     index.need("positions")
-    asked = resolve(index, queries)
-    found = postings_for(index, asked, "docid", "tf", "positions")
+    asked, pairs = held(resolve(index, queries)), held(pairs.select("qid", "docid"))
+    docids = held(pairs.select("docid").distinct())
     # Only the pairs' documents: what is left of the postings is about as large as the pairs.
-    found = found.join(asked.select("term").distinct(), "term", "left_semi").join(pairs.select("docid").distinct(), "docid", "left_semi")
+    found = postings_for(index, asked, "docid", "tf", "positions").join(docids, "docid", "left_semi")
     rows = pairs.select("qid", "docid").join(asked, "qid").join(found, ["term", "docid"], "left")
     item = F.struct("ord", "idf", "cf", F.coalesce("tf", F.lit(0)).alias("tf"), F.coalesce("positions", F.array().cast("array<int>")).alias("positions"))
-    rows = rows.groupBy("qid", "docid").agg(F.array_sort(F.collect_list(item)).alias("asked"))
-    return rows.join(index.doc_stats, "docid").crossJoin(F.broadcast(index.stats))
+    # Windows take long over few bytes, so the number of tasks isn't left to the bytes.
+    rows = rows.repartition(docids.count() // EACH + 1, "qid", "docid").groupBy("qid", "docid").agg(F.array_sort(F.collect_list(item)).alias("asked"))
+    return rows.join(index.doc_stats.join(docids, "docid", "left_semi"), "docid").crossJoin(F.broadcast(index.stats))
 
 
 def extract(index: Index, queries: DataFrame, pairs: DataFrame, features: list[Feature], static: DataFrame | None = None) -> DataFrame:
