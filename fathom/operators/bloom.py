@@ -8,8 +8,12 @@ document is looked for in the first block whose last document isn't before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +54,31 @@ def _numbered(index: Index, terms: DataFrame | None) -> DataFrame:
 
 def blocks(index: Index, hashes: int = 3, bits: int = 8, terms: DataFrame | None = None) -> DataFrame:
     """term, block, last (of the block, in the order of the index), n, filter (its words); of the terms in terms (term), or of all."""
-    whole = Window.partitionBy("term", "block")
-    p = _numbered(index, terms).withColumn("n", F.count("*").over(whole)).withColumn("last_at", F.max("at").over(whole))
-    p = p.withColumn("words", words_for(F.col("n"), bits))
-    p = p.select("term", "block", "n", "last_at", "words", F.explode(F.array(*bits_of(F.col("docid"), F.col("words"), hashes))).alias("bit"))
-    p = p.withColumn("word", F.floor(F.col("bit") / 32)).withColumn("bit", F.expr("shiftleft(1L, cast(bit % 32 as int))"))
-    p = p.groupBy("term", "block", "word").agg(*[F.first(c).alias(c) for c in ("n", "last_at", "words")], F.bit_or("bit").alias("set"))
-    b = p.groupBy("term", "block").agg(*[F.first(c).alias(c) for c in ("n", "last_at", "words")], F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("set"))
-    words = F.transform(F.sequence(F.lit(0).cast("long"), F.col("words") - 1), lambda w: F.coalesce(F.element_at("set", w), F.lit(0).cast("long")))
-    return b.select("term", "block", ((-1 if index.reverse else 1) * F.col("last_at")).alias("last"), "n", words.alias("filter"))
+    p = _numbered(index, terms).groupBy("term", "block").agg(F.max("at").alias("last_at"), F.collect_list("docid").alias("ids"))
+    last = ((-1 if index.reverse else 1) * F.col("last_at")).alias("last")
+    return p.select("term", "block", last, "ids").mapInArrow(_filters(hashes, bits), "term string, block long, last long, n long, filter array<long>")
+
+
+def _filters(hashes: int, bits: int):
+    """Rows of a block with the ids of its documents into those with its filter; as bits_of and words_for have it."""
+    functions, prime = factors(hashes), PRIME
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            n = pc.list_value_length(ids).to_numpy().astype(np.int64)
+            docid = np.mod(ids.flatten().to_numpy(), prime)
+            words = -(-n * bits // 32)
+            ends = np.cumsum(words)
+            first, size = np.repeat(ends - words, n), np.repeat(32 * words, n)
+            found = np.zeros(words.sum(), dtype=np.int64)
+            for a, b in functions:
+                bit = (docid * a + b) % prime % size
+                np.bitwise_or.at(found, first + bit // 32, np.left_shift(np.int64(1), bit % 32))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found))
+            yield pa.RecordBatch.from_pydict({"term": batch.column("term"), "block": batch.column("block"), "last": batch.column("last"), "n": pa.array(n), "filter": lists})
+
+    return run
 
 
 def contains(words: Column, docid: Column, hashes: int) -> Column:
@@ -72,19 +92,20 @@ def _placed(asked: DataFrame, lasts: DataFrame) -> DataFrame:
     """asked: term, at; lasts: term, at, block. Adds to asked the first block that ends there or later, null if none does.
 
     Ends and questions meet in ranges of documents; a range's questions after its
-    last end get the first end of a later range, found by a row for each range.
+    last end get the first end of a later range, found by a row for each range. Both
+    are walked from the end: a frame of following rows is made anew for each row.
     """
     with_range = lambda df: df.withColumn("range", F.floor(F.col("at") / RANGE))
     asked, lasts = with_range(asked), with_range(lasts)
     ranges = lasts.groupBy("term", "range").agg(F.min(F.struct("at", "block")).alias("first"))
     ranges = ranges.unionByName(asked.select("term", "range").distinct(), allowMissingColumns=True).groupBy("term", "range").agg(F.max("first").alias("first"))
-    later = Window.partitionBy("term").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
-    after = ranges.select("term", "range", F.first("first", ignorenulls=True).over(later).alias("next")).where(F.col("next").isNotNull())
+    later = Window.partitionBy("term").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = ranges.select("term", "range", F.last("first", ignorenulls=True).over(later).alias("next")).where(F.col("next").isNotNull())
     ends = lasts.select("term", "range", "at", "block").unionByName(after.select("term", "range", "next.at", "next.block"))
     both = ends.unionByName(asked.select("term", "range", "at", F.lit(None).cast("long").alias("block")))
     # Of one document, the block's end comes after the question, so that it is found.
-    ahead = Window.partitionBy("term", "range").orderBy("at", F.col("block").asc_nulls_first()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return both.withColumn("into", F.first("block", ignorenulls=True).over(ahead)).where(F.col("block").isNull()).select("term", "at", "into")
+    ahead = Window.partitionBy("term", "range").orderBy(F.col("at").desc(), F.col("block").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("into", F.last("block", ignorenulls=True).over(ahead)).where(F.col("block").isNull()).select("term", "at", "into")
 
 
 def membership(index: Index, filters: DataFrame, pairs: DataFrame, hashes: int = 3) -> DataFrame:

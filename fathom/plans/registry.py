@@ -131,8 +131,7 @@ def rarest_term(spark, d):
 def query_positions(spark, d):
     i, q = corpus(spark, d), topics(spark, d)
     pairs = candidates.conjunction(i, q)
-    found = access.query_positions(i, q, pairs).join(pairs, ["qid", "docid"], "left_semi")
-    return found.select("qid", "term", "docid", "tf", _joined("positions"))
+    return access.query_positions(i, q, pairs).select("qid", "term", "docid", "tf", _joined("positions"))
 
 
 def svs_and(spark, d):
@@ -188,7 +187,8 @@ def bloom_blocks(spark, d):
 def bloom_membership(spark, d):
     i = corpus(spark, d)
     pairs = i.doc_stats.select(F.lit("the").alias("term"), "docid").unionByName(i.doc_stats.select(F.lit("with").alias("term"), "docid"))
-    return bloom.membership(i, bloom.blocks(i), pairs)
+    # Filters of the terms asked for, of all their blocks.
+    return bloom.membership(i, bloom.blocks(i, terms=_terms(spark, ("the", "with"))), pairs)
 
 
 def bwand_and_bloom(spark, d):
@@ -220,7 +220,7 @@ def _feature(number: int) -> Query:
 
 
 def static(spark, d):
-    pairs = candidates.bm25_top(corpus(spark, d), topics(spark, d), CANDIDATES)
+    pairs = access.held(candidates.bm25_top(corpus(spark, d), topics(spark, d), CANDIDATES))
     return pairs.select("qid", "docid").join(static_features(spark, d), "docid", "left").fillna(0.0, ["quality"]).select("qid", "docid", "quality")
 
 
