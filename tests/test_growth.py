@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 from collections import defaultdict
 from dataclasses import replace
 from pathlib import Path
@@ -10,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from fathom.operators import access, bloom, candidates, features
@@ -116,3 +119,36 @@ def test_candidates_are_found_once(spark, index):
     queries = asked(spark, "w0 w1 w20", "w3 w4 w0")
     found = features.extract(index, queries, candidates.bm25_top(index, queries, 20), list(registry.FEATURES))
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 40
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_a_file_of_several_parts_is_in_order(spark, tmp_path, monkeypatch, reverse):
+    """A task holds a part's postings, not those of a file."""
+    monkeypatch.setattr(ix, "PART", 200)
+    test_postings_are_those_of_loops_and_in_order_over_files(spark, tmp_path, "positional", reverse)
+    few = ix.create_index(spark.createDataFrame(list(TEXTS.items()), "docid long, terms array<string>"), str(tmp_path / "two"), partitions=2)
+    assert len(list((tmp_path / "two" / "postings").glob("*.parquet"))) == 2 and few.postings.count() == sum(len(set(t)) for t in TEXTS.values())
+
+
+def test_tasks_need_no_module_of_ours():
+    for made in (ix._blocks([("a", 1)], True), ix._loose_blocks([("a", 1)], True), ix._unpacked(["term"], False)):
+        subprocess.run([sys.executable, "-c", "import pickle, sys; pickle.load(sys.stdin.buffer)"], input=cloudpickle.dumps(made), cwd="/", check=True)
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_saved_postings_are_rewritten_file_by_file(spark, tmp_path, monkeypatch, reverse):
+    """All postings were sampled, shuffled and sorted again."""
+    made = ix.create_index(spark.createDataFrame(list(TEXTS.items()), "docid long, terms array<string>"), str(tmp_path / "i"), reverse=reverse, partitions=7)
+    files = lambda path: sorted((pq.read_table(f).to_pylist() for f in Path(path).glob("postings/*.parquet")), key=lambda t: (t[0]["term"], t[0]["docid"]))
+    with monkeypatch.context() as m:
+        m.setattr(ix, "_write_postings", None)
+        n = len(made.postings.inputFiles())
+        ix.save_index(made, str(tmp_path / "a"), n)
+        ix.compact(spark, str(tmp_path / "a"), str(tmp_path / "b"), n)
+        assert n > 3 and files(tmp_path / "i") == files(tmp_path / "a") == files(tmp_path / "b")
+    # What isn't as it was saved is ordered anew.
+    ix.save_index(replace(made, postings=made.postings.where("docid < 9")), str(tmp_path / "c"), n)
+    assert ix.load_index(spark, str(tmp_path / "c")).postings.count() == made.postings.where("docid < 9").count()
+    ix.save_index(replace(made, reverse=not reverse), str(tmp_path / "d"), 1)
+    ids = [r.docid for r in ix.load_index(spark, str(tmp_path / "d")).postings.where("term = 'w0'").collect()]
+    assert ids == sorted(ids, reverse=not reverse) and len(ids) > 9
