@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions.ranges import range_of
+
 
 def with_docno(found: DataFrame, docnos: DataFrame | None) -> DataFrame:
     """Adds docno, the number itself where there is none."""
@@ -41,9 +43,11 @@ def write_lines(lines: DataFrame, path: str, order: list[str] | None = None) ->
 
 def write_documents(vectors: DataFrame, path: str, partitions: int | None = None) -> None:
     """``docid<TAB>term term …``, gzipped, in ranges of ids."""
-    n = [partitions] if partitions else []
-    rows = vectors.repartitionByRange(*n, "docid").sortWithinPartitions("docid")
-    rows.select(F.concat_ws("\t", "docid", F.array_join("terms", " ")).alias("value")).write.mode("overwrite").text(path, compression="gzip")
+    n = partitions or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges are found from the ids alone, so that terms are made once; they move as lines.
+    line = F.concat_ws("\t", "docid", F.array_join("terms", " ")).alias("value")
+    rows = vectors.select("docid", line, range_of(vectors, "docid", n).alias("range"))
+    rows.repartitionById(n, "range").sortWithinPartitions("docid").select("value").write.mode("overwrite").text(path, compression="gzip")
 
 
 def write_queries(queries: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 import subprocess
 import sys
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from fathom.operators import access, bloom, candidates, features
 from fathom.plans import index as ix
 from fathom.plans import registry
+from fathom.sources import sinks
 from tests.test_hand_corpus import asked
 
 draw = random.Random(5)
@@ -152,3 +154,14 @@ def test_saved_postings_are_rewritten_file_by_file(spark, tmp_path, monkeypatch,
     ix.save_index(replace(made, reverse=not reverse), str(tmp_path / "d"), 1)
     ids = [r.docid for r in ix.load_index(spark, str(tmp_path / "d")).postings.where("term = 'w0'").collect()]
     assert ids == sorted(ids, reverse=not reverse) and len(ids) > 9
+
+
+def test_terms_of_written_lines_are_made_once(spark, tmp_path):
+    """They were made to find the ranges of ids and once more to be written."""
+    made = spark.sparkContext.accumulator(0)
+    terms = F.udf(lambda k: made.add(1) or [f"w{k}", "x"], "array<string>")
+    vectors = spark.range(1, 201, 1, 4).select((201 - F.col("id")).alias("docid"), terms("id").alias("terms"))
+    sinks.write_documents(vectors, str(tmp_path / "lines"), 3)
+    assert made.value == 200
+    files = [[int(line.split("\t")[0]) for line in gzip.open(f, "rt")] for f in sorted((tmp_path / "lines").glob("*.gz"))]
+    assert len(files) == 3 and sum(files, []) == list(range(1, 201))
